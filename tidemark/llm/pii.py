@@ -137,7 +137,7 @@ def _coded(index: dict[str, int], rows: list[list[str]]) -> np.ndarray:
     return np.array([[index.get(f, unknown) for f in row] for row in rows], np.int64)
 
 
-def labelled_table(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The small labelled table: (text, spans), written by rule from templates around invented filler words."""
     rng = np.random.default_rng(seed)
     pick = lambda seq: seq[rng.integers(len(seq))]
@@ -165,7 +165,7 @@ def labelled_table(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[in
     rows = []
     for _ in range(n):
         text, spans = "", []
-        for _ in range(rng.integers(1, 4)):
+        for _ in range(rng.integers(1, 3)):
             text += " ".join(pick((word, lambda: word().capitalize(), lambda: word().upper()))() + pick(("", "", "", ",", ".", "!!", "%%%", " |", "$$$")) for _ in range(rng.integers(2, 8))) + pick((" ", " ", "\n"))
             if rng.random() < 0.45:
                 text += pick(plain)()
