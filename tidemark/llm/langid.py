@@ -77,7 +77,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                     total[BINS:] += np.bincount(about[1], weights=uses * about[0], minlength=16)
         for name, total in held.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(total[at].astype(np.int64))], ["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64(), safe=False)], ["lang", "bin", "n"])
 
     counts = rows.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counts["lang"]))

@@ -74,7 +74,7 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, bound: float = BOUND) -> D
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest fitting rule (verdict, host, path), or null; a rule fits subdomains too."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, name, start in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(start)
         out = F.when(fits, F.struct(F.lit(name + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
