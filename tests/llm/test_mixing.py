@@ -1,3 +1,5 @@
+import hashlib
+import math
 from collections import defaultdict
 from fractions import Fraction
 
@@ -34,6 +36,29 @@ def test_targets(spark, sizes):
         assert got[s][0] == pytest.approx(t) and got[s][1] == sizes[s]
 
 
+def brute_copies(rows):
+    """Copies of rows (id, text, source) of fewer than 4096 a source: [(id, size, copies)] in the rows' order."""
+    size, target = [len((t or "").split()) for _, t, _ in rows], defaultdict(int)
+    for n, (*_, s) in zip(size, rows, strict=True):
+        target[s] += n
+    total, target = dict(target), brute_targets(dict(target))
+    part = lambda text, a: int(hashlib.md5(text.encode()).hexdigest()[a : a + 8], 16) / 2**32
+    out = [0] * len(rows)
+    for s in total:
+        rate = target[s] / total[s] if total[s] else 0.0
+        start, fraction = part(f"{s or ''}:0:mix", 0), rate - math.floor(rate)
+        key = lambda i: f"{rows[i][0] if rows[i][0] is not None else hashlib.md5(rows[i][1].encode()).hexdigest()}:mix"
+        own = sorted((i for i in range(len(rows)) if rows[i][2] == s), key=lambda i: (-size[i], part(key(i), 0), part(key(i), 8)))
+        for at, i in enumerate(own, 1):
+            out[i] = math.floor(rate) + math.floor(fraction * at + start) - math.floor(fraction * (at - 1) + start)
+    return [(i, n, c) for (i, *_), n, c in zip(rows, size, out, strict=True)]
+
+
+def test_copies_against_brute_force(docs, corpus):
+    got = sorted(((r.id, r["size"], r.copies) for r in mixing.copies(docs).collect()), key=str)
+    assert got == sorted(brute_copies([(i, t, s) for i, t, _, s, _ in corpus]), key=str)
+
+
 def test_copies(docs, corpus, no_docs, clashing):
     rows = mixing.copies(docs).collect()
     assert len(rows) == len(corpus)
@@ -62,11 +87,11 @@ def test_mix_repeats_rows(docs, clashing):
     assert mixing.mix(clashing).columns == clashing.columns
 
 
-def test_draws_come_near_the_targets(spark):
+def test_draws_come_near_the_targets(spark, monkeypatch):
     rows = spark.range(6000).selectExpr("id as doc_id", "concat('s', id % 3) as source", "repeat('w ', cast(id % 40 + 1 as int)) as text")
-    held = mixing.copies(rows).groupBy("target").sum("size").collect()
-    assert len(held) == 3
-    got = {r.target: 0 for r in held}
-    for r in mixing.copies(rows).collect():
-        got[r.target] += r["size"] * r.copies
-    assert all(abs(v - t) < 0.06 * t for t, v in got.items())
+    for stratum in (4096, 100):
+        monkeypatch.setattr(mixing, "STRATUM", stratum)
+        got = defaultdict(int)
+        for r in mixing.copies(rows).collect():
+            got[r.target] += r["size"] * r.copies
+        assert len(got) == 3 and all(abs(v - t) < 0.01 * t for t, v in got.items())

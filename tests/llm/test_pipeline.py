@@ -1,13 +1,13 @@
-from collections import Counter, defaultdict
+from collections import Counter
 
 import corpus_pipeline
 import pyarrow as pa
 import pytest
-from test_mixing import brute_targets
+from test_mixing import brute_copies
 from test_packing import check
 from test_simhash import brute_components, brute_print
 
-from tidemark.llm import langid, mixing, pii
+from tidemark.llm import langid, pii
 from tidemark.llm.common import crc_remainder
 from tidemark.llm.queries import byte_bpe
 
@@ -34,15 +34,9 @@ def brute(spark, sf_dir):
     root = brute_components([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2], list(prints))
     rows = [r for r in rows if r[0] is None or root[r[0]] == r[0]]
     rows = [(i, pii.masked(t, pii.find_batch(pii.default_field(), [t])[0][1]), s) for i, t, s in rows]
-    sizes = defaultdict(int)
-    for _, t, s in rows:
-        sizes[s] += len(t.split())
-    target = brute_targets(dict(sizes))
     out = []
-    for i, t, s in rows:
-        rate = target[s] / sizes[s]
-        draw = spark.createDataFrame([(i, t)], "i long, t string").select(mixing.draw(F.coalesce(F.col("i").cast("string"), F.md5("t"), F.lit("")), "mix").alias("d")).first().d
-        out += [(i, t, None, s, None)] * (int(rate) + (draw < rate - int(rate)))
+    for (i, t, s), (_, _, n) in zip(rows, brute_copies(rows), strict=True):
+        out += [(i, t, None, s, None)] * n
     return out
 
 

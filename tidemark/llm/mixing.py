@@ -1,4 +1,11 @@
-"""Mixing sources to target weights: repetition rates per source and hash-seeded copies, in DataFrame functions only."""
+"""Mixing sources to target weights: repetition rates per source and hash-seeded copies, in DataFrame functions only.
+
+A document is taken floor(rate) times and once more with the fraction of its source's rate as probability. The draws
+of that copy are spread evenly: documents of a source stand in order of size, and a hash-seeded start and steps of the
+fraction tell which ones get it. Each has just that probability, but a source's words come much nearer to the target
+than by independent draws. Sources are cut by a hash into strata of about ``STRATUM`` documents, so none is ordered
+in one task.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +18,11 @@ from .common import WORD, materialise
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+STRATUM = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, target) from rows (source, size).
+    """(source, source_size, documents, target) from rows (source, size).
 
     Sources in code-point order, null last, take the weights in turn and share the sum of all sizes by them. A target
     stops at ``most`` times the source's size and what is above is shared again by weight: in the order of size over
@@ -23,7 +31,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     scale = lcm(*weights)
     cyclic = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("at") - 1, F.lit(len(weights))) + 1).cast("int"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    held = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("at", F.row_number().over(by_name))
+    held = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents")).withColumn("at", F.row_number().over(by_name))
     held = held.withColumn("weight", cyclic(weights).cast("long")).withColumn("key", F.col("source_size").cast("decimal(38,0)") * cyclic([scale // w for w in weights]))
     before = Window.orderBy("key", "at").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.orderBy("key", "at").rowsBetween(Window.unboundedPreceding, 0)
@@ -35,53 +43,63 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     held = held.withColumns({"full_size": F.sum(F.when(F.col("full"), F.col("source_size")).otherwise(0)).over(everything), "full_weight": F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0)).over(everything)})
     left = F.col("weight") * (F.col("total") - most * F.col("full_size"))
     target = F.when(F.col("full"), (most * F.col("source_size")).cast("double")).otherwise(left.cast("double") / (F.col("all_weight") - F.col("full_weight")).cast("double"))
-    return held.select("source", "source_size", target.alias("target"))
+    return held.select("source", "source_size", "documents", target.alias("target"))
+
+
+def draw(key: Column, first: int = 1) -> Column:
+    """A number in [0, 1) from eight hex digits of a key's MD5, the first ones or those from another place."""
+    return F.conv(F.substring(F.md5(key), first, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def draw(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from the first 32 bits of the MD5 of a key and a seed."""
-    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> dict[str, Column]:
+    """What the copies of a row depend on: its source, size and hashed key."""
+    text, key = docs[text_col].cast("string"), docs[id_col].cast("string")
+    key = F.concat(F.coalesce(key, F.md5(text), F.lit("")), F.lit(f":{seed}"))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return {"__source": docs[source_col].cast("string"), "__size": size, "__draw": draw(key), "__place": draw(key, 9)}
+
+
+def _taken(rows: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
+    """``rows`` with the columns of ``_drawn``, ``goal`` and ``__copies``."""
+    joined = rows.join(goal.select(F.col("source").alias("__of"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "documents", "target"))), F.col("__source").eqNullSafe(F.col("__of")))
+    rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size").cast("double")), F.lit(0.0))
+    joined = joined.withColumns({"__rate": rate, "__stratum": F.floor(F.col("__place") * F.ceil(F.col("__documents") / STRATUM))})
+    start = draw(F.concat(F.coalesce("__source", F.lit("")), F.lit(":"), F.col("__stratum").cast("string"), F.lit(f":{seed}")))
+    order = Window.partitionBy("__source", "__stratum").orderBy(F.desc("__size"), "__draw", "__place")
+    fraction, at = F.col("__rate") - F.floor("__rate"), F.col("__at")
+    joined = joined.withColumns({"__at": F.row_number().over(order), "__start": start})
+    return joined.withColumn("__copies", F.floor("__rate") + F.floor(fraction * at + F.col("__start")) - F.floor(fraction * (at - 1) + F.col("__start")))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """(id, size, source_size, target, copies): how often the mix takes each row.
 
-    The rate of a source is its target over its size; each row is taken floor(rate) times, and once more with the
-    fraction as probability, drawn from its id (its text's MD5 where the id is null), so reruns agree and repeated
-    rows draw alike. Size counts words; null texts have none. A source without words has target 0 and no copies. The
-    words are counted once, in a table of small rows in the shared folder.
+    The rate of a source is its target over its size. Draws hang on ids (on texts where the id is null), sizes and
+    sources alone, so reruns agree. Repeated rows are rows like any other. Size counts words; null texts have none. A
+    source without words has target 0 and no copies. The words are counted once, in a table of small rows in the
+    shared folder.
     """
-    text, key = docs[text_col].cast("string"), docs[id_col].cast("string")
-    rows = docs.select(
-        docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        draw(F.coalesce(key, F.md5(text), F.lit("")), seed).alias("draw"),
-    )
-    rows = materialise(rows)
-    goal = targets(rows, weights, most)
-    rows = rows.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    taken = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
-    return rows.select("id", "size", "source_size", "target", taken.alias("copies"))
+    rows = materialise(docs.select(docs[id_col].alias("id"), *(c.alias(n) for n, c in _drawn(docs, id_col, text_col, source_col, seed).items())))
+    goal = targets(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, most)
+    return _taken(rows, goal, seed).select("id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """``docs`` with each row repeated as often as ``copies`` says, all columns kept."""
-    text, key = F.col(text_col).cast("string"), F.col(id_col).cast("string")
-    sizes = docs.select(docs[source_col].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rates = targets(sizes, weights, most).select(F.col("source").alias("__of"), F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)).alias("__rate"))
-    fraction = F.col("__rate") - F.floor("__rate")
-    times = F.floor("__rate") + (draw(F.coalesce(key, F.md5(text), F.lit("")), seed) < fraction).cast("long")
-    joined = docs.join(materialise(rates), docs[source_col].cast("string").eqNullSafe(F.col("__of")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    drawn = _drawn(docs, id_col, text_col, source_col, seed)
+    goal = materialise(targets(docs.select(drawn["__source"].alias("source"), drawn["__size"].alias("size")), weights, most))
+    taken = _taken(docs.withColumns(drawn), goal, seed).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The query's rows in DuckDB.
 COPIES_SQL = """
-WITH d AS (
+WITH k AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '') || ':mix'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS draw
-  FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
+    md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '') || ':mix') AS key FROM documents),
+d AS (SELECT doc_id, source, size, CAST(('0x' || substr(key, 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS draw,
+    CAST(('0x' || substr(key, 9, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS place FROM k),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS documents, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
 w AS (SELECT *, CASE (rn - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
         source_size * CASE (rn - 1) % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 10 END AS ratio FROM s),
 r AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight,
@@ -90,9 +108,12 @@ r AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_we
 f AS (SELECT *, min(CASE WHEN 3 * source_size::HUGEINT * (all_weight - weight_before) <= weight * (total - 3 * size_before) THEN 1 ELSE 0 END)
         OVER (ORDER BY ratio, rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS is_full FROM r),
 g AS (SELECT *, sum(is_full * source_size) OVER () AS full_size, sum(is_full * weight) OVER () AS full_weight FROM f),
-t AS (SELECT source, source_size, CASE WHEN is_full = 1 THEN CAST(3 * source_size AS DOUBLE)
+t AS (SELECT source, source_size, documents, CASE WHEN is_full = 1 THEN CAST(3 * source_size AS DOUBLE)
         ELSE CAST(weight * (total - 3 * full_size) AS DOUBLE) / CAST(all_weight - full_weight AS DOUBLE) END AS target FROM g),
-j AS (SELECT doc_id, size, source_size, target, draw, coalesce(target / nullif(source_size, 0), 0) AS rate
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM j
+j AS (SELECT doc_id, d.source, size, source_size, target, draw, place, coalesce(target / nullif(source_size, 0), 0) AS rate,
+        CAST(floor(place * ceil(documents / 4096)) AS BIGINT) AS stratum
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, rate - floor(rate) AS fraction, row_number() OVER (PARTITION BY source, stratum ORDER BY size DESC, draw, place) AS at_row,
+        CAST(('0x' || substr(md5(coalesce(source, '') || ':' || CAST(stratum AS VARCHAR) || ':mix'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM j)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + floor(fraction * at_row + start) - floor(fraction * (at_row - 1) + start)) AS BIGINT) AS taken FROM o
 """
