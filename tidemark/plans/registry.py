@@ -100,8 +100,8 @@ on("reorder_dense_ids", "customer", "SELECT c_custkey AS old_id, row_number() OV
 # Statistics and estimates.
 on("column_stats", "orders", "SELECT count(o_orderpriority) AS non_null, count(DISTINCT o_orderpriority) AS distinct_values, min(o_orderpriority) AS min_text, max(o_orderpriority) AS max_text FROM orders", lambda t: stats.column_stats(t.df, "o_orderpriority"))
 on("column_top3", "orders", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 3", lambda t: stats.column_top(t.df, "o_orderpriority"))
-on("column_histogram8", "orders", """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS value, row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS at, count(*) OVER () AS total FROM orders)
-SELECT CAST(floor(at * 8 / total) AS BIGINT) AS bucket, count(*) AS n, min(value) AS low, max(value) AS high FROM r GROUP BY 1""", lambda t: stats.column_histogram(t.df, "o_custkey"))
+on("column_histogram8", "orders", """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS value, row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS place, count(*) OVER () AS total FROM orders)
+SELECT CAST(floor(place * 8 / total) AS BIGINT) AS bucket, count(*) AS n, min(value) AS low, max(value) AS high FROM r GROUP BY 1""", lambda t: stats.column_histogram(t.df, "o_custkey"))
 
 
 def _distinct(t: Table, column: str) -> DataFrame:
