@@ -113,7 +113,7 @@ t AS (SELECT source, source_size, documents, CASE WHEN is_full = 1 THEN CAST(3 *
 j AS (SELECT doc_id, d.source, size, source_size, target, draw, place, coalesce(target / nullif(source_size, 0), 0) AS rate,
         CAST(floor(place * ceil(documents / 4096)) AS BIGINT) AS stratum
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-o AS (SELECT *, rate - floor(rate) AS fraction, row_number() OVER (PARTITION BY source, stratum ORDER BY size DESC, draw, place) AS at_row,
+o AS (SELECT *, rate - floor(rate) AS fraction, row_number() OVER (PARTITION BY source, stratum ORDER BY size DESC, draw, place) AS row_place,
         CAST(('0x' || substr(md5(coalesce(source, '') || ':' || CAST(stratum AS VARCHAR) || ':mix'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM j)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + floor(fraction * at_row + start) - floor(fraction * (at_row - 1) + start)) AS BIGINT) AS taken FROM o
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + floor(fraction * row_place + start) - floor(fraction * (row_place - 1) + start)) AS BIGINT) AS taken FROM o
 """
