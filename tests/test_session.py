@@ -55,6 +55,7 @@ def test_updates_deletes_and_history(people):
     assert run(people, "SCAN").df.count() == 8
     health = run(people, "SHOW STORAGE").df.first()
     assert (health.versions, health.tombstones, health.live) == (8, 1, 1)
+    assert people.workspace.vacuum_queue() == [("people", 7 / 8)]
     run(people, "VACUUM")
     assert run(people, "SCAN").df.count() == 1 and run(people, "COUNT").text == "1"
     assert run(people, "DELETEWHERE(age,>=,0)").text == "deleted 1"

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import SparkSession
 
 from ..errors import Conflict, InvalidArgument, NotFound
+from ..operators.stats import storage_health
 from .files import Store
 from .log import Log
 from .schema import TableSchema
@@ -66,6 +67,11 @@ class Workspace:
                 out[name] = f"failed: {error}"
         return out
 
+    def vacuum_queue(self) -> list[tuple[str, float]]:
+        """Tables with their share of dead versions, the worst first: the order to compact them in."""
+        health = {t: storage_health(self.log(t).history()).first()["dead_ratio"] for t in self.tables()}
+        return sorted(health.items(), key=lambda x: (-x[1], x[0]))
+
     # namespaces
 
     def _known(self) -> list[str]:
