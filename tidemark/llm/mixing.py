@@ -19,6 +19,8 @@ from .common import WORD, materialise
 WEIGHTS = (5, 2, 1)
 MOST = 3
 STRATUM = 4096
+#: The table of sources is broadcast up to this size.
+SMALL_ROWS, SMALL_BYTES = 10_000, 1 << 20
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -61,13 +63,17 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
 
 def _taken(rows: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
     """``rows`` with the columns of ``_drawn``, ``goal`` and ``__copies``."""
-    joined = rows.join(goal.select(F.col("source").alias("__of"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "documents", "target"))), F.col("__source").eqNullSafe(F.col("__of")))
+    goal = goal.select(F.col("source").alias("__of"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "documents", "target")))
+    n, letters = goal.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__of")), F.lit(0))).first()
+    if n <= SMALL_ROWS and letters <= SMALL_BYTES:  # else a shuffled join, whose hot sources adaptive execution splits
+        goal = F.broadcast(goal)
+    joined = rows.join(goal, F.col("__source").eqNullSafe(F.col("__of")))
     rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size").cast("double")), F.lit(0.0))
     joined = joined.withColumns({"__rate": rate, "__stratum": F.floor(F.col("__place") * F.ceil(F.col("__documents") / STRATUM))})
     start = draw(F.concat(F.coalesce("__source", F.lit("")), F.lit(":"), F.col("__stratum").cast("string"), F.lit(f":{seed}")))
     order = Window.partitionBy("__source", "__stratum").orderBy(F.desc("__size"), "__draw", "__place")
     fraction, at = F.col("__rate") - F.floor("__rate"), F.col("__at")
-    joined = joined.withColumns({"__at": F.row_number().over(order), "__start": start})
+    joined = joined.repartition("__source", "__stratum").withColumns({"__at": F.row_number().over(order), "__start": start})
     return joined.withColumn("__copies", F.floor("__rate") + F.floor(fraction * at + F.col("__start")) - F.floor(fraction * (at - 1) + F.col("__start")))
 
 
@@ -80,7 +86,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     shared folder.
     """
     rows = materialise(docs.select(docs[id_col].alias("id"), *(c.alias(n) for n, c in _drawn(docs, id_col, text_col, source_col, seed).items())))
-    goal = targets(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, most)
+    goal = materialise(targets(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, most))
     return _taken(rows, goal, seed).select("id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
 
 

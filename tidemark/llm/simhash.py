@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(classes, bits)).withColumnRenamed("node", "print")
     named = classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component"))
-    labelled = named.join(lowest, "root").select("print", "component")
+    labelled = materialise(named.join(lowest, "root").select("print", "component"))  # so that both sides of the join are shuffled and a hot print can be split
     return rows.join(labelled, "print").select("id", "print", "component")
 
 
