@@ -119,7 +119,7 @@ def links(prints: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     if bits not in (0, 1, 2):
         raise ValueError("Golay keys find up to two differing bits")
     keyed = materialise(_keyed(prints))
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    size = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     held = keyed.join(size, "key")
     near = lambda p: (p["a"] < p["b"]) & (F.bit_count(p["a"].bitwiseXOR(p["b"])) <= bits)
     pairs = F.flatten(F.transform("prints", lambda a: F.transform("prints", lambda b: F.struct(a.alias("a"), b.alias("b")))))
