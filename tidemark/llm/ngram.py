@@ -129,64 +129,75 @@ class Level:
         return self.shards[i + 1].first if i + 1 < len(self.shards) else (1 << 62)
 
 
-def _unique(f, values: np.ndarray):
-    """``f`` of sorted distinct values, given back for each value; f gives an array or a tuple of arrays."""
-    distinct, back = np.unique(values, return_inverse=True)
-    got = f(distinct)
-    return tuple(g[back] for g in got) if isinstance(got, tuple) else got[back]
-
-
 class Reader:
     """Turns texts into nodes of the levels built so far."""
 
     def __init__(self, trie: Trie):
         self.trie, self.levels = trie, [Level(s) for s in trie.levels]
 
-    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(vocabulary node of each token, the text's end among them; tokens of each text). Unknown words are -1."""
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct vocabulary nodes in order, each token's place among them or -1, tokens of each text).
+
+        The end of a text is its last token.
+        """
         lengths, index, keys = tokens(texts)
-        order, back = np.argsort(keys), np.empty(len(keys), np.int64)
-        back[order] = self.levels[0].find(keys[order])
-        end = self.levels[0].find(np.array([END], np.int64))[0]
+        keys = np.append(keys, END)
+        order, node = np.argsort(keys), np.empty(len(keys), np.int64)
+        node[order] = self.levels[0].find(keys[order])
+        distinct, place = np.unique(node, return_inverse=True)
+        if distinct[0] < 0:
+            distinct, place = distinct[1:], place - 1
         n = lengths + 1
-        out = np.full(int(n.sum()), end, np.int64)
-        ends = np.cumsum(n) - 1
+        out = np.full(int(n.sum()), place[-1], np.int64)
         inner = np.ones(len(out), bool)
-        inner[ends] = False
-        out[inner] = back[index]
-        return out, n
+        inner[np.cumsum(n) - 1] = False
+        out[inner] = place[index]
+        return distinct, out, n
 
-    def nodes(self, word: np.ndarray, lengths: np.ndarray, upto: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For levels 2 to ``upto``: (key, node) of the n-gram that ends at each token; -1 where there is none.
+    def grams(self, distinct: np.ndarray, place: np.ndarray, lengths: np.ndarray, upto: int, scores: bool = True):
+        """For each level from 2 to ``upto``: (keys of its n-grams, in no order), or with ``scores``, by token,
+        (back-off mass of the words before, discounted probability of the token after them).
 
-        Before a text stands one start symbol, which is the parent numbered as the vocabulary is large.
+        Lookups are made once for each distinct n-gram, in order. Before a text stands one start symbol, the parent
+        numbered as the vocabulary is large; longer contexts begin inside the text.
         """
-        start = self.trie.distinct
         begins = np.cumsum(lengths) - lengths
-        out, below, below_first = [], word, None
+        parents, at = np.append(distinct, self.trie.distinct), place
+        child, known = distinct[place], place >= 0
         for k in range(2, upto + 1):
-            before = np.empty(len(word), np.int64)
-            before[1:], before[:1] = below[:-1], -1
-            before[begins] = start if k == 2 else -1
-            if k == 2:
-                child = word
-            else:  # place among the successors of the shorter context
-                ok = below >= 0
-                child = np.full(len(word), -1, np.int64)
-                child[ok] = below[ok] - below_first[ok]
-            valid = (before >= 0) & (child >= 0)
-            key = np.full(len(word), -1, np.int64)
-            key[valid] = before[valid] << self.trie.widths[k - 2] | child[valid]
-            if k - 1 < len(self.levels):
-                node = np.full(len(word), -1, np.int64)
-                node[valid] = _unique(self.levels[k - 1].find, key[valid])
-                first = np.full(len(word), -1, np.int64)
-                first[valid] = _unique(lambda p, k=k: self.levels[k - 1].contexts(p, self.trie.widths[k - 2])[0], before[valid])
-                below, below_first = node, first
-            else:
-                node = None
-            out.append((key, node, before))
-        return out
+            level, width = self.levels[k - 1] if k - 1 < len(self.levels) else None, self.trie.widths[k - 2]
+            before = np.empty(len(at), np.int64)
+            before[1:], before[:1] = at[:-1], -1
+            before[begins] = len(parents) - 1 if k == 2 else -1
+            valid = (before >= 0) & known
+            key = parents[before[valid]] << width | child[valid]
+            if level is None:
+                yield key
+                return
+            keys, back = np.unique(key, return_inverse=True)
+            nodes = level.find(keys)
+            first, mass = level.contexts(parents, width)
+            if scores:
+                share = np.zeros(len(keys))
+                held = nodes >= 0
+                share[held] = restored(level.read(nodes[held], "alpha").astype(np.uint16))
+                mass = restored(mass)
+                for parent, sum_held in self.trie.split[k - 1].items():
+                    i = int(np.searchsorted(parents, parent))
+                    if i < len(parents) and parents[i] == parent:
+                        mass[i] = max(0.0, 1 - sum_held)
+                p, b = np.zeros(len(at)), np.ones(len(at))
+                p[valid], b[before >= 0] = share[back], mass[before[before >= 0]]
+                yield b, p
+            held = nodes >= 0
+            rank = np.where(held, np.cumsum(held) - 1, -1)
+            start = np.full(len(at), -1, np.int64)
+            start[valid] = first[before[valid]]
+            at = np.full(len(at), -1, np.int64)
+            at[valid] = rank[back]
+            parents, known = nodes[held], at >= 0
+            child = np.zeros(len(at), np.int64)
+            child[known] = parents[at[known]] - start[known]
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -347,8 +358,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, discount:
 
         def grams(column, trie=trie, k=k):
             reader = Reader(trie)
-            key = reader.nodes(*reader.words(column), k)[-1][0]
-            return np.unique(key[key >= 0], return_counts=True)
+            *_, key = reader.grams(*reader.words(column), k, scores=False)
+            return np.unique(key, return_counts=True)
 
         built = _build(_counting(texts, grams, cuts), folder, k, trie)
         trie.levels.append(_placed(built))
@@ -373,29 +384,18 @@ def _placed(built: list[dict]) -> list[Shard]:
 
 def score_batch(trie: Trie, reader: Reader, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, score) of each text."""
-    word, lengths = reader.words(texts) if trie.distinct else (lambda n: (np.full(int(n.sum()), -1, np.int64), n))(tokens(texts)[0] + 1)
-    owner, known = np.repeat(np.arange(len(lengths)), lengths), word >= 0
-    counts = np.zeros(len(word), np.int64)
-    if known.any():
-        counts[known] = _unique(lambda n: reader.levels[0].read(n, "counts"), word[known])
-    base = np.log10((counts + 0.1) / (trie.tokens + 0.1 * (trie.distinct + 1)))
+    if trie.distinct:
+        distinct, place, lengths = reader.words(texts)
+    else:
+        lengths = tokens(texts)[0] + 1
+        distinct, place = np.zeros(0, np.int64), np.full(int(lengths.sum()), -1, np.int64)
+    owner, known = np.repeat(np.arange(len(lengths)), lengths), place >= 0
+    counts = np.append(reader.levels[0].read(distinct, "counts") if len(distinct) else distinct, 0)  # the last: unknown
+    base = np.log10((counts + 0.1) / (trie.tokens + 0.1 * (trie.distinct + 1)))[place]
     unknown = (trie.once + 0.5) / (trie.tokens + 1)
-    p = np.where(known, counts / max(1, trie.tokens) * (1 - unknown), unknown)
-    for k, (_, node, before) in enumerate(reader.nodes(word, lengths, len(trie.levels)) if len(trie.levels) > 1 else (), start=2):
-        level, has = reader.levels[k - 1], before >= 0
-        mass = np.ones(len(word))
-        if has.any():
-            def backoff(parents, level=level, k=k):
-                out = restored(level.contexts(parents, trie.widths[k - 2])[1])
-                for parent, held in trie.split[k - 1].items():
-                    out[parents == parent] = max(0.0, 1 - held)
-                return out
-
-            mass[has] = _unique(backoff, before[has])
-        p = p * mass
-        hit = node >= 0
-        if hit.any():
-            p[hit] += _unique(lambda n, level=level: restored(level.read(n, "alpha").astype(np.uint16)), node[hit])
+    p = np.append(counts[:-1] / max(1, trie.tokens) * (1 - unknown), unknown)[place]
+    for mass, share in reader.grams(distinct, place, lengths, len(trie.levels)) if len(trie.levels) > 1 else ():
+        p = p * mass + share
     logs = np.log10(np.maximum(p, 1e-300))
     add = lambda x: np.bincount(owner, weights=x, minlength=len(lengths))
     return lengths, add(known).astype(np.int64), add(base), add(logs)
