@@ -145,6 +145,10 @@ def test_bulk_reorder_and_statistics(session):
     assert (row.name, row.dept, row.age, row.salary) == ("u13", "FIN", 33, 8013)
     run(session, "CONFIRM_REORDER")
     assert ids(run(session, "WHERE(id,>,0)")) == list(range(1, 121))
+    assert {r.dept: r.n for r in session.summary("dept", "salary").collect()}["ENG"] == run(session, "WHERE(dept,=,ENG)").df.count()
+    run(session, "DELETEWHERE(dept,=,HR)")
+    assert {r.dept for r in session.summary("dept", "salary").collect()} == {"ENG", "FIN", "OPS"}
+    run(session, "RECOVER TO LSN 4")
     held = session.analyze()
     assert held["rows"] == 120 and held["columns"]["dept"]["distinct"] == 4
     plan = json.loads(run(session, "SHOW PLAN(dept,=,ENG,AND,age,>,20)").text)

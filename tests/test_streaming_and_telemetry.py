@@ -41,5 +41,5 @@ def test_report_shapes(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("b", 1, 7)], "run string, t int, c int")
     assert [r.delta for r in report.step_deltas(rows, "run", "t", "c").orderBy("run", "t").collect()] == [0, 0, 0]
     assert report.window_delta(rows, "run", "t", "c").where("run = 'a'").first().rise == 0
-    assert report.pass_rate(rows.limit(0), F.lit(True)).first().health == "unknown"
+    assert report.pass_rate(rows, F.col("c") > 5).first().health == "critical"
     assert report.weighted_score(rows, "run", "c", {"a": 1.0}).first().tier == "D"

@@ -36,10 +36,10 @@ def series(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
 
 
-def pass_rate(rows: DataFrame, passed: Column) -> DataFrame:
-    """(n, passed, rate, health): health is green from 0.99, yellow from 0.95, else red; without rows unknown."""
+def pass_rate(rows: DataFrame, passed: Column, warn: float = 0.9, critical: float = 0.7) -> DataFrame:
+    """(n, passed, rate, health): critical or warning if the rate is below that threshold, else healthy."""
     held = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("passed")).withColumn("rate", F.try_divide(F.col("passed").cast("double"), F.col("n").cast("double")))
-    return held.withColumn("health", F.when(F.col("rate").isNull(), "unknown").when(F.col("rate") >= 0.99, "green").when(F.col("rate") >= 0.95, "yellow").otherwise("red"))
+    return held.withColumn("health", F.when(F.col("rate") < critical, "critical").when(F.col("rate") < warn, "warning").otherwise("healthy"))
 
 
 def rank_stages(rows: DataFrame, stage: str, value: str) -> DataFrame:
@@ -59,15 +59,17 @@ def top_stages(runs: dict[str, DataFrame], stage: str, value: str, k: int) -> Da
 
 
 def compare(rows: DataFrame, by: str, left: str, right: str, rate: str, tail: str, least_rate: float = 1.05, most_tail: float = 1.15) -> DataFrame:
-    """(rate_ratio, tail_ratio, verdict) of profile ``right`` over ``left``: one aggregation, no join."""
-    pick = lambda column, name: F.max(F.when(F.col(by) == name, F.col(column)))
-    held = rows.agg(F.try_divide(pick(rate, right), pick(rate, left)).alias("rate_ratio"), F.try_divide(pick(tail, right), pick(tail, left)).alias("tail_ratio"))
-    good = (F.col("rate_ratio") >= least_rate) & (F.col("tail_ratio") <= most_tail)
-    return held.withColumn("verdict", F.when(F.col("rate_ratio").isNull() | F.col("tail_ratio").isNull(), "unknown").when(good, "pass").otherwise("fail"))
+    """(rate_ratio, tail_ratio, verdict): the rate of profile ``left`` over ``right``'s, the tail of ``right`` over
+    ``left``'s, 0 without a positive divisor, and ok or warning. One aggregation, no join."""
+    pick = lambda column, name: F.coalesce(F.max(F.when(F.col(by) == name, F.col(column))), F.lit(0.0))
+    held = rows.agg(pick(rate, left).alias("lr"), pick(rate, right).alias("rr"), pick(tail, left).alias("lt"), pick(tail, right).alias("rt"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    held = held.select(ratio("lr", "rr").alias("rate_ratio"), ratio("rt", "lt").alias("tail_ratio"))
+    return held.withColumn("verdict", F.when((F.col("rate_ratio") >= least_rate) & (F.col("tail_ratio") <= most_tail), "ok").otherwise("warning"))
 
 
 def weighted_score(rows: DataFrame, dimension: str, score: str, weights: dict[str, float]) -> DataFrame:
-    """(score, tier): weighted mean of the dimensions' scores; tiers A from 90, B from 75, C from 60, else D."""
+    """(score, tier): weighted mean of the dimensions' scores; tiers A from 95, B from 80, C from 60, else D."""
     weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col(dimension)), F.lit(0.0))
     held = rows.agg(F.try_divide(F.sum(F.col(score) * weight), F.sum(weight)).alias("score"))
-    return held.withColumn("tier", F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").otherwise("D"))
+    return held.withColumn("tier", F.when(F.col("score") >= 95, "A").when(F.col("score") >= 80, "B").when(F.col("score") >= 60, "C").otherwise("D"))

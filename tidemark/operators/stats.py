@@ -60,19 +60,19 @@ def selectivity(operator: str, distinct_values: int) -> float:
     if operator == "=":
         return equal
     if operator == "!=":
-        return max(0.0, 1.0 - equal)
+        return min(0.49, max(0.05, 1.0 - 0.95 * equal))
     if operator == "contains":
-        return min(0.5, max(0.05, equal**0.5))
+        return min(0.45, max(0.08, equal**0.5))
     return range_selectivity(distinct_values)
 
 
 def blind_estimate(rows: int, conditions) -> float:
-    """Rows that a condition list keeps by fixed factors: AND multiplies, OR adds, at most all."""
+    """Rows that a condition list keeps by fixed factors: AND multiplies, OR adds; from one row to all."""
     share = 1.0
     for i, c in enumerate(conditions):
         one = BLIND["id="] if c.operator == "=" and c.attribute == "id" else BLIND.get(c.operator, BLIND["range"])
         share = one if i == 0 else share * one if c.link == "AND" else min(1.0, share + one)
-    return rows * share
+    return min(float(rows), max(1.0, rows * share))
 
 
 def storage_health(log: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ add("step_deltas_clamped", "SELECT event_id, event_type, CAST(greatest(coalesce(
 add("window_delta_summary", "SELECT event_type, arg_min(user_id, event_id) AS first, arg_max(user_id, event_id) AS last, greatest(arg_max(user_id, event_id) - arg_min(user_id, event_id), 0) AS rise, max(user_id) AS most FROM events GROUP BY event_type", lambda s, d: report.window_delta(read(s, d, "events"), "event_type", "event_id", "user_id"))
 add("trend_latest_n", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view') ORDER BY ts DESC, event_id DESC LIMIT 40", lambda s, d: report.latest([read(s, d, "events").where("event_type = 'click'"), read(s, d, "events").where("event_type = 'view'")], "ts", "event_id", 40).select("event_id", "event_type"))
 add("series_stats", "SELECT event_type, count(user_id) AS n, min(user_id) AS low, max(user_id) AS high, round(avg(user_id), 6) AS mean FROM events GROUP BY event_type", lambda s, d: report.series(read(s, d, "events"), "event_type", "user_id").withColumn("mean", F.round("mean", 6)))
-add("pass_rate_health", "SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) AS rate, CASE WHEN count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) >= 0.99 THEN 'green' WHEN count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) >= 0.95 THEN 'yellow' ELSE 'red' END AS health FROM events", lambda s, d: report.pass_rate(read(s, d, "events"), F.col("event_type") != "error"))
+add("pass_rate_health", "SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) AS rate, CASE WHEN count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) < 0.7 THEN 'critical' WHEN count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) < 0.9 THEN 'warning' ELSE 'healthy' END AS health FROM events", lambda s, d: report.pass_rate(read(s, d, "events"), F.col("event_type") != "error"))
 STAGES = "SELECT event_type, quantile_disc(user_id, 0.95)::DOUBLE AS p95, max(user_id) AS most, quantile_disc(user_id, 0.95)::DOUBLE * 1000 + max(user_id) AS score FROM events {} GROUP BY event_type"
 add("stage_ranking", f"SELECT *, CAST(row_number() OVER (ORDER BY score DESC, event_type) AS INTEGER) AS place FROM ({STAGES.format('')})", lambda s, d: report.rank_stages(read(s, d, "events"), "event_type", "user_id"))
 add("stage_top_runs", f"""WITH a AS (SELECT event_type, CAST(row_number() OVER (ORDER BY score DESC, event_type) AS INTEGER) AS a FROM ({STAGES.format('WHERE event_id % 2 = 0')})),
@@ -131,10 +131,10 @@ def _profiles(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("rate"), F.max("user_id").cast("double").alias("tail"))
 
 
-add("profile_compare", """WITH p AS (SELECT event_type, count(*)::DOUBLE AS rate, max(user_id)::DOUBLE AS tail FROM events GROUP BY event_type), r AS (SELECT b.rate / a.rate AS rate_ratio, b.tail / a.tail AS tail_ratio FROM p a, p b WHERE a.event_type = 'click' AND b.event_type = 'view')
-SELECT *, CASE WHEN rate_ratio >= 1.05 AND tail_ratio <= 1.15 THEN 'pass' ELSE 'fail' END AS verdict FROM r""", lambda s, d: report.compare(_profiles(s, d), "event_type", "click", "view", "rate", "tail"))
+add("profile_compare", """WITH p AS (SELECT event_type, count(*)::DOUBLE AS rate, max(user_id)::DOUBLE AS tail FROM events GROUP BY event_type), r AS (SELECT a.rate / b.rate AS rate_ratio, b.tail / a.tail AS tail_ratio FROM p a, p b WHERE a.event_type = 'click' AND b.event_type = 'view')
+SELECT *, CASE WHEN rate_ratio >= 1.05 AND tail_ratio <= 1.15 THEN 'ok' ELSE 'warning' END AS verdict FROM r""", lambda s, d: report.compare(_profiles(s, d), "event_type", "click", "view", "rate", "tail"))
 add("weighted_score", """WITH p AS (SELECT event_type, count(*)::DOUBLE AS score FROM events GROUP BY event_type), w AS (SELECT round(sum(score * w) / sum(w), 6) AS score FROM (SELECT score, CASE event_type WHEN 'click' THEN 3.0::DOUBLE WHEN 'view' THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM p))
-SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS tier FROM w""", lambda s, d: report.weighted_score(_profiles(s, d), "event_type", "rate", {"click": 3.0, "view": 2.0}).withColumn("score", F.round("score", 6)))
+SELECT score, CASE WHEN score >= 95 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS tier FROM w""", lambda s, d: report.weighted_score(_profiles(s, d), "event_type", "rate", {"click": 3.0, "view": 2.0}).withColumn("score", F.round("score", 6)))
 
 
 # Version logs, made of events: an id is a user, an error is a tombstone.

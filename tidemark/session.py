@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import Conflict, EngineError, InvalidArgument, NotFound, TransactionError
-from .functions.types import default, literal, parse, type_name
+from .functions.types import NUMERIC, SPARK, default, literal, parse, type_name
 from .operators import stats
 from .operators.predicate import aggregate_arguments, parse_conditions, split_arguments
 from .operators.query import SHOWN, Table
@@ -89,6 +89,35 @@ class Session:
             self.last_error = str(error)
             return Result(text=f"[{type(error).__name__}] {error}", code=error.code)
 
+    def close(self) -> None:
+        """Drop an open transaction and the current table."""
+        if self.txn:
+            self.rollback(None, [])
+        self.name = None
+
+    @staticmethod
+    def version() -> str:
+        return VERSION
+
+    def check_schema(self, name: str) -> TableSchema:
+        """The schema of a table, or the error that reading it raises."""
+        return self.workspace.log(name).schema()
+
+    def summary(self, key: str, attribute: str) -> DataFrame:
+        """Count and sum of an attribute for each value of ``key``, kept beside the table for its sequence number.
+
+        A summary of an earlier state is replaced, never served.
+        """
+        log = self.log()
+        name, seq = f"summary/{key}-{attribute}", log.manifest()["seq"]
+        if self.txn:
+            return self.table().covering(key, attribute)
+        path = f"{log.store.root}/{name}/{seq}"
+        if not log.store.exists(f"{name}/{seq}/_SUCCESS"):
+            log.store.delete(name)
+            self.table().covering(key, attribute).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def runtime_stats(self) -> str:
         return json.dumps(self.counters | {"version": VERSION, "table": self.name, "in_transaction": self.txn is not None}, sort_keys=True)
 
@@ -710,16 +739,24 @@ class Session:
 
 
 def generated(rows: DataFrame, schema: TableSchema, dept: str | None = None) -> DataFrame:
-    """Rows (id) with the bulk generator's values: name u<id>, dept by id mod 4, age, salary, else by type."""
-    key = F.col("id")
+    """Rows (id) with the bulk generator's values.
+
+    A key attribute gets the id, or its name and the id; name is u<id>, dept goes by id mod 4, age and salary by the id;
+    others go by type.
+    """
+    key, today = F.col("id"), dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0)
     named = {"name": F.concat(F.lit("u"), key.cast("string")), "dept": F.lit(dept) if dept else F.element_at(F.array(*map(F.lit, DEPARTMENTS)), (key % 4 + 1).cast("int")), "age": 20 + key % 40, "salary": 8000 + key % 50000}
-    kinds = {"int": key % 1_000_000, "float": (key % 10000) / 10, "double": (key % 10000) / 10, "bool": key % 2 == 0, "char": F.lit("x"), "string": F.concat(F.lit("v"), key.cast("string")), "date": F.lit("2024-01-01"), "datetime": F.lit("2024-01-01 00:00:00"), "timestamp": F.lit("2024-01-01 00:00:00")}
-    columns = []
-    for n, k in schema.attributes:
-        spark_type = dict((f.name, f.dataType) for f in schema.struct().fields)[n]
-        fits = n in named and (k in ("int", "float", "double")) == (n in ("age", "salary"))
-        columns.append((named[n] if fits else kinds[k]).cast(spark_type).alias(n))
-    return rows.select("id", *columns)
+    tenth = (key % 10000) / 10
+
+    def value(name: str, kind: str):
+        plain = {"int": key % 1_000_000, "float": tenth, "double": tenth, "bool": key % 2 == 0, "char": F.lit("A"), "date": F.lit(str(today.date())), "datetime": F.lit(str(today)), "timestamp": F.lit(str(today))}
+        if name == schema.primary_key:
+            return key if kind == "int" else F.concat(F.lit(f"{name}_"), key.cast("string"))
+        if name in named and (kind in NUMERIC) == (name in ("age", "salary")):
+            return named[name]
+        return plain.get(kind, F.concat(F.lit(f"{name}_"), key.cast("string")))
+
+    return rows.select("id", *(value(n, k).cast(SPARK[k]).alias(n) for n, k in schema.attributes))
 
 
 def inverse(command: str, before: dict | None = None) -> str | None:
