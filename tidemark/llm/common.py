@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +40,13 @@ def crc_remainder(id_col: F.Column, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(texts: list, limit: int):
-    """Cut a list of strings into (start, stop) runs of about ``limit`` characters, at least one string each."""
+def slices(texts: pa.Array, limit: int):
+    """Cut an array of strings into (start, stop) runs of about ``limit`` characters, at least one string each."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > limit:
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        if i > start and held + size > limit:
             yield start, i
             start, held = i, 0
-        held += len(text)
+        held += size
     if start < len(texts):
         yield start, len(texts)

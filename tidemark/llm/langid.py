@@ -22,7 +22,7 @@ from .common import slices
 SCRIPT_STARTS = (0x0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0)
 SCRIPTS = (0, 1, 0, 2, 3, 4, 5, 6, 0, 7, 8, 0, 9, 10, 11, 1, 2, 0, 12, 0, 13, 0, 10, 0)
 #: Hash bins of trigrams, penalty of a switch (natural log), characters handled together, score of an excluded language.
-BINS, SWITCH, TOGETHER, EXCLUDED = 1 << 15, 12.0, 4_000_000, -1e6
+BINS, SWITCH, TOGETHER, EXCLUDED = 1 << 15, 12.0, 2_000_000, -1e6
 NOT_LETTERS = re.compile(r"[^\w ]|[\d_]")
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -65,7 +65,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(1), batch.column(0).to_pylist()
-            for a, b in slices(texts.to_pylist(), TOGETHER):
+            for a, b in slices(texts, TOGETHER):
                 lengths, index, distinct = _words(texts.slice(a, b - a))
                 word, bins, about = _trigrams(distinct)
                 names = sorted(set(langs[a:b]))
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for a, b in slices(texts.to_pylist(), TOGETHER):
+            for a, b in slices(texts, TOGETHER):
                 lang, score, spans = predict_batch(model, texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], ["id", "lang_pred", "score", "spans"])
 
@@ -197,7 +197,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: flo
         for batch in batches:
             texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
             keep = []
-            for a, b in slices(texts.to_pylist(), TOGETHER):
+            for a, b in slices(texts, TOGETHER):
                 lang, score, _ = predict_batch(model, texts.slice(a, b - a))
                 keep += [x != "und" and s >= least for x, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))

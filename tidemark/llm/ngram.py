@@ -247,7 +247,7 @@ def _counting(texts: DataFrame, make, bounds: np.ndarray) -> DataFrame:
 
         for batch in batches:
             column = batch.column(0)
-            for a, b in slices(column.to_pylist(), TOGETHER):
+            for a, b in slices(column, TOGETHER):
                 held.append(make(column.slice(a, b - a)))
                 if sum(len(k) for k, _ in held) > HELD:
                     yield from flush()
@@ -412,7 +412,7 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         reader = Reader(trie)
         for batch in batches:
-            for a, b in slices(batch.column(1).to_pylist(), TOGETHER):
+            for a, b in slices(batch.column(1), TOGETHER):
                 n, known, base, own = score_batch(trie, reader, batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["id", "n_tokens", "n_known", "base_score", "score"])
 

@@ -23,7 +23,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s | \s|\A | \Z")
 #: Words whose ids one worker keeps, and pieces packed together.
-CACHE, TOGETHER = 3 << 18, 1 << 16
+CACHE, TOGETHER = 1 << 18, 1 << 16
 
 
 @lru_cache(maxsize=2)
