@@ -105,3 +105,15 @@ def test_edges(spark, docs, no_docs, clashing, corpus):
     trie = ngram.train(docs)
     assert ngram.score(no_docs, trie).count() == 0
     assert sorted(ngram.score(clashing, trie).collect(), key=str) == sorted(ngram.score(docs, trie).collect(), key=str)
+
+
+def test_ngrams_seen_once_are_kept(spark):
+    rows = [(1, "p q r s t"), (2, "p u r v t"), (3, "t q p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    trie = ngram.train(frame)
+    lists = [["<s>", *t.split(), "</s>"] for _, t in rows]
+    pairs = {tuple(w[i : i + 2]) for w in lists for i in range(len(w) - 1)}
+    triples = {tuple(w[i : i + 3]) for w in lists for i in range(1, len(w) - 2)}
+    assert [sum(s.n for s in level) for level in trie.levels[1:]] == [len(pairs), len(triples)]
+    seen, unseen = (ngram.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), trie).first().score for t in ("q r s", "q v s"))
+    assert seen > unseen + 1

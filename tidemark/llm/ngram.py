@@ -8,8 +8,8 @@ shard; beside them stand the parents that have children and monotone pointers to
 kept as a monotone sequence of sums, smoothed probabilities and back-off masses as 16-bit steps of their logarithm.
 
 Smoothing is interpolated absolute discounting: P(w | c) = max(n(c w) - D, 0) / n(c) + b(c) P(w | c without its first
-word), b(c) being what the discounts leave. The unigrams leave the share of words seen once to one unknown word. N-grams
-of two and more words seen fewer than ``LEAST`` times are left out, whatever the size of the corpus.
+word), b(c) being what the discounts leave. The unigrams leave the share of words seen once to one unknown word. All
+n-grams are kept, those seen once too (``LEAST`` is 1).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path, slices
 from .eliasfano import encode, named, open_file, parts_of, save
 
-ORDER, LEAST, DISCOUNT = 3, 2, 0.6
+ORDER, LEAST, DISCOUNT = 3, 1, 0.6
 #: Characters tokenised together, keys held before a task passes them on, steps of a quantised log10.
 TOGETHER, HELD, STEP = 12_000_000, 3_000_000, 4096
 END = 0  #: the key of the end of a text in the vocabulary
@@ -169,6 +169,8 @@ class Reader:
             before = np.empty(len(at), np.int64)
             before[1:], before[:1] = at[:-1], -1
             before[begins] = len(parents) - 1 if k == 2 else -1
+            if k == 3:  # the pair before a text's second token has the start symbol
+                before[begins[lengths > 1] + 1] = -1
             valid = (before >= 0) & known
             key = parents[before[valid]] << width | child[valid]
             if level is None:
