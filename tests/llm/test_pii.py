@@ -72,3 +72,11 @@ def test_frames(spark, docs, no_docs, clashing):
     assert pii.find(no_docs).count() == 0 and pii.mask(no_docs).count() == 0
     assert sorted(pii.find(clashing).collect(), key=str) == sorted(pii.find(docs).collect(), key=str)
     assert pii.mask(clashing).columns == clashing.columns
+
+
+def test_every_spelled_out_form_is_found():
+    forms = [f"marto{at}erlima{dot}com" for at in (" at ", " [at] ", "[at]", " (at) ") for dot in (" dot ", " [dot] ", "[dot]", " (dot) ")]
+    texts = [f"The other words stand here, {form}. Others follow." for form in forms]
+    found = [s for _, s in pii.find_batch(pii.default_field(), texts)]
+    assert [pii.masked(t, s) for t, s in zip(texts, found, strict=True)] == ["The other words stand here, [EMAIL]. Others follow."] * 16
+    assert pii.windows("write to jo at\n site\t(dot) com") and pii.windows("my password is") and not pii.windows("plain words")

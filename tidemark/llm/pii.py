@@ -29,7 +29,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens of the field, what opens a window, and the characters that a window takes on each side.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 CUES = ("token", "secret", "password", "passwd", "key", "apikey", "ssn", "iban", "account", "passport", "tel", "phone", "call", "fax", "mobile", "email", "mail", "at", "dot", "id", "card", "number", "no")
-OPENS = re.compile(r"[0-9@]|[\[(]at[\])]| at \S+ dot ", re.IGNORECASE)
+OPENS = re.compile(rf"[0-9@]|(?<![^\W\d_])(?:{'|'.join(CUES)})(?![^\W\d_])", re.IGNORECASE)
 REACH, JOINED = 56, 400
 
 
