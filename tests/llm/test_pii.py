@@ -80,3 +80,12 @@ def test_every_spelled_out_form_is_found():
     found = [s for _, s in pii.find_batch(pii.default_field(), texts)]
     assert [pii.masked(t, s) for t, s in zip(texts, found, strict=True)] == ["The other words stand here, [EMAIL]. Others follow."] * 16
     assert pii.windows("write to jo at\n site\t(dot) com") and pii.windows("my password is") and not pii.windows("plain words")
+
+
+def test_dense_text_is_not_cut():
+    one = "iban DE12 3456 7890 1234 5678 90, call (555) 123-4567 "
+    text = one * 120
+    assert pii.windows(text) == [(0, len(text))] and pii.windows("7" * 9000 + " x") == [(0, 9002)]
+    (_, found), = pii.find_batch(pii.default_field(), [text])
+    want = [(at + a, at + b, k) for at in range(0, len(text), len(one)) for a, b, k in ((5, 32, "account"), (39, 53, "phone"))]
+    assert len(set(want) - set(found)) == 0

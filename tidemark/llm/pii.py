@@ -30,7 +30,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 CUES = ("token", "secret", "password", "passwd", "key", "apikey", "ssn", "iban", "account", "passport", "tel", "phone", "call", "fax", "mobile", "email", "mail", "at", "dot", "id", "card", "number", "no")
 OPENS = re.compile(rf"[0-9@]|(?<![^\W\d_])(?:{'|'.join(CUES)})(?![^\W\d_])", re.IGNORECASE)
-REACH, JOINED = 56, 400
+REACH = 56
+#: Tokens, with padding, that are decoded together; a longer stretch is decoded alone.
+TOGETHER = 1 << 16
 
 
 def luhn(digits: str) -> bool:
@@ -69,23 +71,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text that the field looks at, cut at white space; long ones are cut into several."""
-    spans: list[list[int]] = []
+    """Stretches of the text that the field looks at, with white space around; what touches is one stretch, however long."""
+    near: list[list[int]] = []
     for m in OPENS.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if spans and a <= spans[-1][1] and b - spans[-1][0] <= JOINED:
-            spans[-1][1] = b
+        if near and a <= near[-1][1]:
+            near[-1][1] = b
         else:
-            spans.append([max(a, spans[-1][1]) if spans else a, b])
-    out = []
-    for a, b in spans:
-        a = out[-1][1] if out and out[-1][1] > a else a
-        while 0 < a < len(text) and not text[a].isspace() and not text[a - 1].isspace() and not (out and a == out[-1][1]):
+            near.append([a, b])
+    out: list[tuple[int, int]] = []
+    for a, b in near:
+        done = out[-1][1] if out else 0
+        while a > done and not text[a - 1].isspace():
             a -= 1
-        a = out[-1][1] if out and out[-1][1] > a else a
-        while b < len(text) and not text[b - 1].isspace() and b - a < 4 * JOINED:
+        b = max(b, done)
+        while b < len(text) and not text[b].isspace():
             b += 1
-        if a < b:
+        if out and a <= done:
+            out[-1] = (out[-1][0], b)
+        else:
             out.append((a, b))
     return out
 
@@ -252,8 +256,12 @@ def decode(field: Field, sequences: list[np.ndarray]) -> list[np.ndarray]:
     """The best labels of each coded sequence: Viterbi over sequences of like length together."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
     order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))
-    for at in range(0, len(order), 512):
-        part = order[at : at + 512]
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < min(len(order), at + 512) and (to - at + 1) * len(sequences[order[to]]) <= TOGETHER:
+            to += 1
+        part, at = order[at:to], to
         scores, lengths = _lattice(field, [sequences[i] for i in part])
         best, back = scores[:, 0], np.zeros(scores.shape, np.int8)
         for t in range(1, scores.shape[1]):
