@@ -216,3 +216,44 @@ def test_unpublished_writes_are_invisible(people):
     log = people.log()
     log.stage(log.current(), log.schema(), 99)
     assert run(people, "COUNT").text == "2"
+
+
+def test_recovery_across_a_renamed_attribute(session):
+    run(session, "DEFATTR(name:string, age:int)", "CREATE TABLE(t)", "INSERT(1, Al, 30)", "INSERT(2, Bo, 40)", "RENATTR(name, title)", "INSERT(3, Cy, 50)")
+    assert [tuple(r) for r in session.frame().orderBy("id").collect()] == [(1, "Al", 30), (2, "Bo", 40), (3, "Cy", 50)]
+    run(session, "RECOVER TO LSN 2")
+    assert session.frame().columns == ["id", "name", "age"] == ["id", *session.log().schema().names]
+    assert [tuple(r) for r in session.frame().orderBy("id").collect()] == [(1, "Al", 30), (2, "Bo", 40)]
+    run(session, "DELATTR(age)", "INSERT(4, Di)", "RECOVER TO LSN 2", "INSERT(5, Ed, 60)")
+    assert [tuple(r) for r in session.frame().orderBy("id").collect()] == [(1, "Al", 30), (2, "Bo", 40), (5, "Ed", 60)]
+    assert {r["name"] for r in session.scan(None, []).df.collect()} == {"Al", "Bo", "Ed"}
+
+
+def test_read_committed_keeps_own_writes_on_top(people, spark):
+    other = Session(spark, people.workspace.root, "people")
+    run(people, "TXNISOLATION rc", "BEGIN", "SETATTR(1, age, 99)")
+    run(other, "SETATTR(1, age, 77)", "SETATTR(1, age, 78)", "SETATTR(2, age, 11)", "VACUUM")
+    assert {r.id: r.age for r in people.frame().collect()} == {1: 99, 2: 11}
+    run(people, "TXNISOLATION snapshot")
+    assert {r.id: r.age for r in people.frame().collect()}[2] != 11
+    assert people.execute("COMMIT").code != 0
+    run(people, "ROLLBACK")
+    assert {r.id: r.age for r in people.frame().collect()} == {1: 78, 2: 11}
+
+
+def test_vacuum_queue_and_leftovers(people):
+    log = people.log()
+    folder = log.stage(log.current(), log.schema(), 99)
+    run(people, "SETATTR(1, age, 1)", "SETATTR(1, age, 2)", "SETATTR(1, age, 3)")
+    assert people.workspace.vacuum_queue()[0][1] >= 0.2
+    assert run(people, "VACUUM QUEUE").text == "compacted people" and not log.manifest()["deltas"]
+    assert run(people, "VACUUM QUEUE").text == "" and log.sweep() == []
+    assert log.sweep(0) == [folder] and run(people, "COUNT").text == "2"
+
+
+def test_key_and_label_are_published_with_the_data(people):
+    run(people, "SET PRIMARY KEY(name)")
+    log = people.log()
+    assert log.manifest()["schema"] and log.schema().primary_key == "name" and log.schema(log.manifest(1)).primary_key == "id"
+    run(people, "INSERT(3, Zoe, 5)", "VACUUM")
+    assert log.schema().primary_key == "name"

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
 
-#: Type names with their aliases, and the Spark type of each.
+#: Type names with their aliases and the Spark type of each, and the words for true and false.
 ALIASES = {"integer": "int", "str": "string", "boolean": "bool"}
 SPARK = {"int": T.LongType(), "char": T.StringType(), "string": T.StringType(), "timestamp": T.TimestampType(), "date": T.DateType(), "datetime": T.TimestampType(), "float": T.FloatType(), "double": T.DoubleType(), "bool": T.BooleanType()}
 NUMERIC = ("int", "float", "double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import running_total
+
 
 def step_deltas(rows: DataFrame, by: str, order: str, counter: str) -> DataFrame:
     """Each row with ``delta``: the counter's rise since the row before within ``by``, never below 0."""
@@ -18,10 +20,17 @@ def window_delta(rows: DataFrame, by: str, order: str, counter: str) -> DataFram
     return held.select(by, "first", "last", F.greatest(F.col("last") - F.col("first"), F.lit(0)).alias("rise"), "most")
 
 
-def distribution(rows: DataFrame, value: str) -> DataFrame:
-    """(n, min, max, avg, p50, p95); percentiles by nearest rank."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    return rows.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+def distribution(rows: DataFrame, value: str, mean: Column | None = None) -> DataFrame:
+    """(n, min, max, avg, p50, p95); percentiles by nearest rank, ``mean`` in place of the plain average if given.
+
+    Values are counted and the counts added up range by range; the two percentiles come by way of the driver.
+    """
+    held = running_total(rows.select(F.col(value).alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("c")), "value", "c")
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), F.col("value")))
+    p50, p95 = held.agg(at(0.5), at(0.95)).first()
+    kind = rows.schema[value].dataType
+    mean = F.avg(value) if mean is None else mean
+    return rows.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), mean.alias("avg"), F.lit(p50).cast(kind).alias("p50"), F.lit(p95).cast(kind).alias("p95"))
 
 
 def latest(sources: list[DataFrame], order: str, tie: str, n: int) -> DataFrame:

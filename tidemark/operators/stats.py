@@ -7,10 +7,11 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_dir
 from ..sources.schema import TableSchema
 
 BUCKETS, TOP = 8, 3
-#: Shares of rows that a condition keeps when nothing is known of the data.
+#: Shares of rows that a condition keeps when nothing is known of the data.
 BLIND = {"id=": 0.0001, "=": 0.08, "contains": 0.35, "range": 0.45, "!=": 0.45}
 
 
@@ -28,15 +29,32 @@ def column_top(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
     return df.select(_text(column)).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
+def running_total(counts: DataFrame, order: str, weight: str) -> DataFrame:
+    """``counts`` with ``upto``, the sum of ``weight`` over the rows up to this one by ``order``, and ``total``.
+
+    Rows are cut into ranges of ``order``; each range adds up its own, and the sums of those before it, one number for a
+    range, come by way of the driver. So no task holds the whole order.
+    """
+    shared_dir(counts.sparkSession)
+    placed = counts.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()).checkpoint()
+    sums = {r["part"]: r["s"] for r in placed.groupBy("part").agg(F.sum(weight).alias("s")).collect()}
+    before, done = [], 0
+    for part in sorted(sums):
+        before += [F.lit(part), F.lit(done).cast("long")]
+        done += sums[part]
+    shift = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0).cast("long")
+    own = F.sum(weight).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumns({"upto": own + shift, "total": F.lit(done).cast("long")}).drop("part")
+
+
 def column_histogram(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n, low, high): equi-depth, position i of n falls in ``floor(i * buckets / n)``.
 
     Equal values are counted first; a value's run of positions is then cut into buckets by arithmetic, so that a
-    frequent value is one row and the only ordered window runs over distinct values.
+    frequent value is one row, and the distinct values are ordered range by range.
     """
     counts = df.select(_text(column)).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    placed = counts.withColumns({"upto": F.sum("c").over(Window.orderBy("value")), "total": F.sum("c").over(Window.partitionBy())})
-    placed = placed.withColumn("from", F.col("upto") - F.col("c"))
+    placed = running_total(counts, "value", "c").withColumn("from", F.col("upto") - F.col("c"))
     first = F.floor(F.col("from") * buckets / F.col("total"))
     last = F.floor((F.col("upto") - 1) * buckets / F.col("total"))
     cut = placed.withColumn("bucket", F.explode(F.sequence(first, last)))

@@ -6,14 +6,16 @@ they are pages, and money is summed as decimal so that both engines agree to the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import algebra, report, stats
+from ..operators.predicate import parse_conditions
 from ..operators.query import Table
-from ..session import generated
+from ..session import Session, generated
 from ..sources import files
 from ..sources.log import latest
 from ..sources.schema import TableSchema
@@ -104,17 +106,19 @@ on("column_histogram8", "orders", """WITH r AS (SELECT CAST(o_custkey AS VARCHAR
 SELECT CAST(floor(place * 8 / total) AS BIGINT) AS bucket, count(*) AS n, min(value) AS low, max(value) AS high FROM r GROUP BY 1""", lambda t: stats.column_histogram(t.df, "o_custkey"))
 
 
-def _distinct(t: Table, column: str) -> DataFrame:
-    return stats.column_stats(t.df, column).select(F.col("distinct_values").alias("d"))
+def _share(t: Table, column: str, operator: str) -> DataFrame:
+    """The estimate of ``stats`` for a condition on a column, from its number of distinct values."""
+    distinct = stats.column_stats(t.df, column).first()["distinct_values"]
+    return t.df.sparkSession.createDataFrame([(stats.selectivity(operator, distinct),)], "selectivity double")
 
 
-on("eq_selectivity", "orders", "SELECT 1.0::DOUBLE / count(DISTINCT o_custkey) AS selectivity FROM orders", lambda t: _distinct(t, "o_custkey").select((F.lit(1.0) / F.col("d")).alias("selectivity")))
-on("range_selectivity", "orders", "SELECT least(0.5, greatest(4.0::DOUBLE / d, sqrt(1.0::DOUBLE / d))) AS selectivity FROM (SELECT count(DISTINCT o_orderpriority) AS d FROM orders)", lambda t: _distinct(t, "o_orderpriority").select(F.least(F.lit(0.5), F.greatest(F.lit(4.0) / F.col("d"), F.sqrt(F.lit(1.0) / F.col("d")))).alias("selectivity")))
-on("scan_estimate", "orders", "SELECT count(*) * 0.08::DOUBLE * 0.45::DOUBLE AS estimate FROM orders", lambda t: t.df.agg((F.count(F.lit(1)) * F.lit(stats.BLIND["="]) * F.lit(stats.BLIND["range"])).alias("estimate")))
+on("eq_selectivity", "orders", "SELECT 1.0::DOUBLE / count(DISTINCT o_custkey) AS selectivity FROM orders", lambda t: _share(t, "o_custkey", "="))
+on("range_selectivity", "orders", "SELECT least(0.5, greatest(4.0::DOUBLE / d, sqrt(1.0::DOUBLE / d))) AS selectivity FROM (SELECT count(DISTINCT o_orderpriority) AS d FROM orders)", lambda t: _share(t, "o_orderpriority", ">"))
+on("scan_estimate", "orders", "SELECT count(*) * (0.08::DOUBLE * 0.45::DOUBLE) AS estimate FROM orders", lambda t: t.df.sparkSession.createDataFrame([(stats.blind_estimate(t.df.count(), parse_conditions("o_orderstatus,=,F,AND,o_totalprice,>,1000")),)], "estimate double"))
 
 # Telemetry over events.
 EVENT_STAGE = "percentile_disc(0.95)"
-add("dist_stats_nearest_rank", "SELECT count(value) AS n, min(value) AS min, max(value) AS max, round(avg(CAST(value AS DECIMAL(18,2))), 4) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events", lambda s, d: report.distribution(read(s, d, "events"), "value").drop("avg").crossJoin(F.broadcast(read(s, d, "events").agg(F.round(F.avg(money("value")), 4).cast("double").alias("avg")))))
+add("dist_stats_nearest_rank", "SELECT count(value) AS n, min(value) AS min, max(value) AS max, round(avg(CAST(value AS DECIMAL(18,2))), 4) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events", lambda s, d: report.distribution(read(s, d, "events"), "value", F.round(F.avg(money("value")), 4).cast("double")))
 add("step_deltas_clamped", "SELECT event_id, event_type, CAST(greatest(coalesce(user_id - lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), 0), 0) AS BIGINT) AS delta FROM events", lambda s, d: report.step_deltas(read(s, d, "events"), "event_type", "event_id", "user_id").select("event_id", "event_type", "delta"))
 add("window_delta_summary", "SELECT event_type, arg_min(user_id, event_id) AS first, arg_max(user_id, event_id) AS last, greatest(arg_max(user_id, event_id) - arg_min(user_id, event_id), 0) AS rise, max(user_id) AS most FROM events GROUP BY event_type", lambda s, d: report.window_delta(read(s, d, "events"), "event_type", "event_id", "user_id"))
 add("trend_latest_n", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view') ORDER BY ts DESC, event_id DESC LIMIT 40", lambda s, d: report.latest([read(s, d, "events").where("event_type = 'click'"), read(s, d, "events").where("event_type = 'view'")], "ts", "event_id", 40).select("event_id", "event_type"))
@@ -155,35 +159,84 @@ def half(s: SparkSession, d: str) -> int:
 
 
 add("log_winners", WINNERS.format(""), winners)
-add("vacuum_result", WINNERS.format(""), winners)
+
+
+def session_on(s: SparkSession, rows: DataFrame, key: str, name: str = "t") -> Session:
+    """A session on a new table with the rows, in the shared folder."""
+    session = Session(s, f"{files.shared_dir(s)}/workspace-{uuid.uuid4().hex}")
+    session.workspace.create(name, TableSchema.of(rows.schema, key))
+    session.set_table(name)
+    if rows.columns != [key]:
+        session.log().append(rows.withColumnRenamed(key, "id"))
+    return session
+
+
+def commit_events(session: Session, s: SparkSession, d: str, low: int, high: int) -> None:
+    """Commit what the events of a range leave: the newest row of each id, then the tombstones."""
+    newest = latest(event_log(s, d).where(F.col("_seq").between(low, high)))
+    session.log().append(newest.where("not _deleted").select("id", "event_type", "value"))
+    session.log().append(newest.where("_deleted").select("id"), deleted=True)
+
+
+def _vacuumed(s: SparkSession, d: str) -> DataFrame:
+    session, most = session_on(s, event_log(s, d).select("id", "event_type", "value").limit(0), "id"), 2 * half(s, d) + 1
+    for i in range(3):
+        commit_events(session, s, d, most * i // 3 + (i > 0), most * (i + 1) // 3)
+    session.execute("VACUUM")
+    return session.frame().withColumn("id", F.col("id").cast("long"))
+
+
+def _isolations(s: SparkSession, d: str) -> DataFrame:
+    """What a transaction reads at either isolation after another session has committed the later half."""
+    reader, middle = session_on(s, event_log(s, d).select("id", "event_type", "value").limit(0), "id"), half(s, d)
+    commit_events(reader, s, d, 0, middle)
+    writer = Session(s, reader.workspace.root, "t")
+    reader.execute("BEGIN")
+    commit_events(writer, s, d, middle + 1, 2 * middle + 1)
+    found = []
+    for level in ("snapshot", "read_committed"):
+        reader.execute(f"TXNISOLATION {level}")
+        found.append(reader.frame().agg(F.lit(level).alias("isolation"), F.count(F.lit(1)).alias("n")))
+    return found[0].unionAll(found[1])
+
+
+add("vacuum_result", WINNERS.format(""), _vacuumed)
 add("log_with_tombstones", WINNERS.format("").replace(" AND event_type <> 'error'", ""), lambda s, d: latest(event_log(s, d)).select("id", "event_type", "value"))
 add("log_as_of_seq", WINNERS.format(f"WHERE event_id <= {HALF}"), lambda s, d: winners(s, d, half(s, d)))
 add("log_history", "SELECT user_id AS id, event_id AS _seq, event_type = 'error' AS _deleted FROM events", lambda s, d: event_log(s, d).select("id", "_seq", "_deleted"))
-add("read_committed_vs_snapshot", f"SELECT 'snapshot' AS isolation, count(*) AS n FROM ({WINNERS.format(f'WHERE event_id <= {HALF}')}) UNION ALL SELECT 'read_committed', count(*) FROM ({WINNERS.format('')})", lambda s, d: winners(s, d, half(s, d)).agg(F.lit("snapshot").alias("isolation"), F.count(F.lit(1)).alias("n")).unionAll(winners(s, d).agg(F.lit("read_committed"), F.count(F.lit(1)))))
+add("read_committed_vs_snapshot", f"SELECT 'snapshot' AS isolation, count(*) AS n FROM ({WINNERS.format(f'WHERE event_id <= {HALF}')}) UNION ALL SELECT 'read_committed', count(*) FROM ({WINNERS.format('')})", _isolations)
 add("storage_health", """WITH l AS (SELECT user_id AS id, count(*) AS n, count(*) FILTER (event_type = 'error') AS t, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id)
 SELECT CAST(sum(n) AS BIGINT) AS versions, CAST(sum(t) AS BIGINT) AS tombstones, count(*) FILTER (last <> 'error') AS live, sum(t)::DOUBLE / sum(n)::DOUBLE AS tombstone_ratio, (sum(n) - count(*) FILTER (last <> 'error'))::DOUBLE / sum(n)::DOUBLE AS dead_ratio FROM l""", lambda s, d: stats.storage_health(event_log(s, d)))
 
 
-# Results of DML on a table, as the log's winner step gives them: newer versions over the base.
-def applied(base: DataFrame, newer: DataFrame, key: str, deleted: bool = False) -> DataFrame:
-    kept = base.join(newer.select(key), key, "left_anti").select(*base.columns)
-    return kept if deleted else kept.unionByName(newer.select(*base.columns))
-
-
+# Commands on a table of customers.
 def _customers(s: SparkSession, d: str) -> Table:
     t = table(s, d, "customer")
     return Table(t.df.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), t.schema, t.key)
 
 
-def _dml(name: str, sql: str, change: Callable[[Table], DataFrame], deleted: bool = False) -> None:
-    add(name, sql, lambda s, d: applied((t := _customers(s, d)).df, change(t), "c_custkey", deleted))
+def _after(name: str, sql: str, *commands: str, columns: tuple[str, ...] = ("c_custkey", "c_name", "c_mktsegment", "c_acctbal")) -> None:
+    """The table after commands of a session; ``{first}`` stands for the least name."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        held = table(s, d, "customer").df.select(*columns)
+        session = session_on(s, held, "c_custkey")
+        first = held.agg(F.min("c_name")).first()[0] if any("{first}" in c for c in commands) else ""
+        for command in commands:
+            if (result := session.execute(command.replace("{first}", first))).code:
+                raise RuntimeError(result.text)
+        found = session.frame().withColumnRenamed("id", "c_custkey")
+        kinds = {f.name: f.dataType for f in held.schema.fields}
+        return found.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else c for c in found.columns))
+
+    add(name, sql, run)
 
 
 CUSTOMER = "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer"
-_dml("update_where", CUSTOMER.replace("c_mktsegment,", "CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment,"), lambda t: t.where("c_acctbal,<,0").withColumn("c_mktsegment", F.lit("DEBT")))
-_dml("set_attr_multi", CUSTOMER.replace("c_mktsegment,", "CASE WHEN c_custkey IN (1, 5, 9) THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment,"), lambda t: t.df.where(F.col("c_custkey").isin(1, 5, 9)).withColumn("c_mktsegment", F.lit("VIP")))
-_dml("delete_where", CUSTOMER + " WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal > 0)", lambda t: t.where("c_mktsegment,=,BUILDING,AND,c_acctbal,>,0"), deleted=True)
-_dml("delete_pk", CUSTOMER + " WHERE c_name <> (SELECT min(c_name) FROM customer)", lambda t: Table(t.df, TableSchema(t.schema.attributes, "c_name"), t.key).find_pk(t.df.agg(F.min("c_name")).first()[0]), deleted=True)
+_after("update_where", CUSTOMER.replace("c_mktsegment,", "CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment,"), "UPDATEWHERE(c_mktsegment, DEBT, WHERE, c_acctbal,<,0)")
+_after("set_attr_multi", CUSTOMER.replace("c_mktsegment,", "CASE WHEN c_custkey IN (1, 5, 9) THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment,"), "SETATTRMULTI(c_mktsegment, VIP, 1, 5, 9)")
+_after("delete_where", CUSTOMER + " WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal > 0)", "DELETEWHERE(c_mktsegment,=,BUILDING,AND,c_acctbal,>,0)")
+_after("delete_pk", CUSTOMER + " WHERE c_name <> (SELECT min(c_name) FROM customer)", "SET PRIMARY KEY(c_name)", "DELETEPK({first})")
 add("insert_dedup", CUSTOMER + " UNION ALL SELECT s_suppkey + 100, s_name, 'NEW', s_acctbal FROM supplier WHERE s_suppkey + 100 NOT IN (SELECT c_custkey FROM customer)", lambda s, d: (t := _customers(s, d)).df.unionByName(algebra.anti_join(read(s, d, "supplier").select((F.col("s_suppkey") + 100).alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("NEW").alias("c_mktsegment"), F.col("s_acctbal").alias("c_acctbal")), t.df.select("c_custkey"), "c_custkey").select(*t.df.columns)))
 BULK = TableSchema([("name", "string"), ("dept", "string"), ("age", "int"), ("salary", "int")])
 BULK_SQL = "SELECT CAST(i AS INTEGER) AS id, 'u' || i AS name, CASE i % 4 WHEN 0 THEN 'ENG' WHEN 1 THEN 'FIN' WHEN 2 THEN 'OPS' ELSE 'HR' END AS dept, 20 + i % 40 AS age, 8000 + i % 50000 AS salary FROM range(1, 5001) t(i)"
@@ -198,8 +251,9 @@ add("bench_where_dept", f"SELECT * FROM ({BULK_SQL}) WHERE dept = 'ENG' AND age
 add("bench_count_dept", f"SELECT count(*) FILTER (dept = 'ENG' AND age > 20) AS matched, count(*) AS total FROM ({BULK_SQL})", lambda s, d: bulk(s).count("dept,=,ENG,AND,age,>,20"))
 add("bench_avg_dept", f"SELECT round(avg(salary), 6) AS value FROM ({BULK_SQL}) WHERE dept = 'ENG' AND age > 20", lambda s, d: bulk(s).avg("salary", "dept,=,ENG,AND,age,>,20").select(F.round("value", 6).alias("value")))
 add("bench_or", f"SELECT * FROM ({BULK_SQL}) WHERE id = 2 OR dept = 'HR' OR name = 'Alice'", lambda s, d: bulk(s).where("id,=,2,OR,dept,=,HR,OR,name,=,Alice"))
-on("rename_attr", "customer", "SELECT c_custkey, c_name AS title, c_acctbal FROM customer", lambda t: t.df.withColumnRenamed("c_name", "title").select("c_custkey", "title", "c_acctbal"))
-on("drop_attr", "customer", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer", lambda t: t.df.drop("c_mktsegment"))
+_after("rename_attr", "SELECT c_custkey, c_name AS title, c_acctbal FROM customer", "RENATTR(c_name, title)", columns=("c_custkey", "c_name", "c_acctbal"))
+_after("drop_attr", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer", "DELATTR(c_mktsegment)", columns=("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+_after("recover_across_rename", "SELECT c_custkey, c_name, c_acctbal FROM customer", "RENATTR(c_name, title)", "DELETEWHERE(c_acctbal,<,0)", "RECOVER TO LSN 1", columns=("c_custkey", "c_name", "c_acctbal"))
 on("export_csv_rows", "nation", "SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation", lambda t: files.csv_rows(t.df, ["n_nationkey", "n_name", "n_regionkey"]))
 on("export_json_rows", "nation", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":"' || n_regionkey || '"}' AS line FROM nation""", lambda t: files.json_rows(t.df, ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey"))
 

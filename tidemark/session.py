@@ -143,14 +143,11 @@ class Session:
 
     def frame(self) -> DataFrame:
         """Current rows: in a transaction those of its snapshot (or the newest, if read committed) and its own."""
-        log, schema = self.log(), self.log().schema()
+        log = self.log()
         if self.txn and self.txn.table == self.name:
             manifest = self.txn.manifest if self.isolation == "snapshot" else log.manifest()
-            return log.current(manifest=manifest, schema=schema, staged=self._own(manifest))
-        return log.current(schema=schema)
-
-    def _own(self, manifest: dict) -> list[tuple[str, int]]:
-        return self.txn.staged
+            return log.current(manifest=manifest, staged=self.txn.staged, shift=manifest["seq"] - self.txn.manifest["seq"])
+        return log.current()
 
     def table(self) -> Table:
         return Table(self.frame(), self.log().schema())
@@ -463,9 +460,7 @@ class Session:
             raise InvalidArgument("expected old, new")
         old, new = tokens
         renamed = TableSchema([(new if n == old else n, k) for n, k in schema.attributes], new if schema.primary_key == old else schema.primary_key, schema.label)
-        rows = log.current().withColumnRenamed(old, new)
-        log.replace(rows, renamed)
-        log.set_schema(renamed)
+        log.replace(log.current().withColumnRenamed(old, new), renamed)
         return Result(text=f"renamed {old} to {new}")
 
     def delete_attribute(self, inner, rest):
@@ -476,7 +471,6 @@ class Session:
             raise InvalidArgument(f"{name} can't be dropped")
         reduced = TableSchema([(n, k) for n, k in schema.attributes if n != name], schema.primary_key, schema.label)
         log.replace(log.current().drop(name), reduced)
-        log.set_schema(reduced)
         return Result(text=f"dropped {name}")
 
     def create_table(self, inner, rest):
@@ -515,7 +509,8 @@ class Session:
             if log.versions():
                 held = [c for c in schema.names if c in rows.columns]
                 log.replace(rows.select("id", *(F.col(c).try_cast(dict((f.name, f.dataType) for f in schema.struct().fields)[c]).alias(c) for c in held)), schema)
-            log.set_schema(schema)
+            else:
+                log.set_schema(schema)
         self._schema = schema
         return Result(text=f"{len(schema.attributes)} attributes")
 
@@ -574,7 +569,12 @@ class Session:
 
     def vacuum(self, inner, rest):
         self._no_transaction()
+        if (inner or "".join(rest)).upper() == "QUEUE":
+            done = self.workspace.run_vacuum()
+            self.counters["compactions"] += len(done)
+            return Result(text="\n".join(f"compacted {n}" for n in done))
         self.log().compact()
+        self.log().sweep()
         self.counters["compactions"] += 1
         return Result(text="compacted")
 
@@ -778,6 +778,10 @@ def inverse(command: str, before: dict | None = None) -> str | None:
         return f"RENATTR({args[1]}, {args[0]})"
     if verb == "CREATE TABLE":
         return f"DROP TABLE({args[0]})"
+    if verb == "USE" and before:
+        return f"USE({before['table']})"
+    if verb == "RENAME TABLE" and before:
+        return f"RENAME TABLE({before['table']})"
     if verb == "CREATE SCHEMA":
         return f"DROP SCHEMA({args[0]})"
     if verb == "DEFATTR" and before:

@@ -68,10 +68,22 @@ class Workspace:
         return out
 
     def vacuum_queue(self) -> list[tuple[str, float]]:
-        """Tables with their share of dead versions, the worst first: the order to compact them in."""
-        health = {t: storage_health(self.log(t).history()).first()["dead_ratio"] for t in self.tables()}
+        """Tables with their share of dead versions, the worst first: the order to compact them in.
+
+        Only tables with commits since their last compaction are looked into; the others have no dead versions.
+        """
+        logs = {t: self.log(t) for t in self.tables()}
+        health = {t: storage_health(log.history()).first()["dead_ratio"] if log.manifest()["deltas"] else 0.0 for t, log in logs.items()}
         return sorted(health.items(), key=lambda x: (-x[1], x[0]))
 
+    def run_vacuum(self, least: float = 0.2, most: int = 8) -> list[str]:
+        """Compact up to ``most`` tables of the queue whose share of dead versions is at least ``least``."""
+        done = [t for t, share in self.vacuum_queue() if share >= least][:most]
+        for name in done:
+            self.log(name).compact()
+            self.log(name).sweep()
+        return done
+
     # namespaces
 
     def _known(self) -> list[str]:

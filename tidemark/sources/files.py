@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,12 +12,29 @@ from pyspark.sql import types as T
 from ..errors import Conflict, InvalidArgument
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder that the context was given.
+
+    Where neither is set a local master (tests, one machine) gets a temporary folder of its own; on a cluster that is an
+    error, since a folder of one machine would lose data.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 class Store:
     """Files of the file system of a path, through Hadoop, so that any store Spark reads will do."""
 
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark._jvm
-        self.root, self._path, self._jvm = root.rstrip("/"), jvm.org.apache.hadoop.fs.Path, jvm
+        self.root, self._path, self._jvm, self._gateway = root.rstrip("/"), jvm.org.apache.hadoop.fs.Path, jvm, spark.sparkContext._gateway
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, name: str):
@@ -42,15 +62,19 @@ class Store:
         stream = self.fs.create(part)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists(name):
-            if not overwrite:
-                self.fs.delete(part, False)
-                raise Conflict(f"{name} was written by another session")
-            self.fs.delete(self.path(name), False)
-        if not self.fs.rename(part, self.path(name)):
+        rename, options = self._jvm.org.apache.hadoop.fs.Options.Rename, None
+        if overwrite:  # one step: readers see the old file or the new one
+            options = self._gateway.new_array(rename, 1)
+            options[0] = rename.OVERWRITE
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(part, self.path(name), options)
+        elif self.exists(name) or not self.fs.rename(part, self.path(name)):
             self.fs.delete(part, False)
             raise Conflict(f"{name} was written by another session")
 
+    def modified(self, name: str) -> int:
+        """Milliseconds of the last change."""
+        return self.fs.getFileStatus(self.path(name)).getModificationTime()
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 

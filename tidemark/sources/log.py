@@ -4,6 +4,9 @@ Every statement writes whole new rows, or tombstones, to a folder of its own wit
 renamed into place publishes it. The current rows are the newest of each id without a tombstone. A manifest names one
 compacted base, whose ids are unique, and the folders after it: only those are searched for the newest row of an id,
 and base rows with newer versions are taken out by an anti join. So a table without recent writes is a plain scan.
+
+A manifest also holds the schema of its folders: attributes change only together with a new base, so one publication
+changes both, and an earlier state is read by the schema it was written with.
 """
 
 from __future__ import annotations
@@ -39,13 +42,20 @@ class Log:
         self.store.write("schema.json", schema.to_json())
         return self
 
-    def schema(self) -> TableSchema:
+    def schema(self, manifest: dict | None = None) -> TableSchema:
+        """The schema of a manifest, by default the newest; of a table without commits that it was created with."""
         if not self.store.exists("schema.json"):
             raise NotFound("no such table")
-        return TableSchema.from_json(self.store.read("schema.json"))
+        held = (manifest or self.manifest()).get("schema")
+        return TableSchema.from_json(held or self.store.read("schema.json"))
 
     def set_schema(self, schema: TableSchema) -> None:
-        self.store.write("schema.json", schema.to_json())
+        """Change key or label, or, before the first commit, anything. Attributes of written rows change by ``replace``."""
+        before = self.manifest()
+        if before["version"]:
+            self.publish(before, [], schema=schema)
+        else:
+            self.store.write("schema.json", schema.to_json())
 
     def versions(self) -> list[int]:
         return [int(n[:-5]) for n in self.store.names("manifest") if n.endswith(".json")]
@@ -54,7 +64,7 @@ class Log:
         """The newest manifest, or that of a version; an empty one before the first commit."""
         held = self.versions()
         if not held:
-            return {"version": 0, "seq": 0, "base": None, "base_seq": 0, "deltas": [], "ts_ms": 0}
+            return {"version": 0, "seq": 0, "base": None, "base_seq": 0, "deltas": [], "ts_ms": 0, "schema": None}
         return json.loads(self.store.read(f"manifest/{version or max(held):08d}.json"))
 
     # reading
@@ -70,20 +80,27 @@ class Log:
 
     def history(self, manifest: dict | None = None, schema: TableSchema | None = None, staged: list[tuple[str, int]] = ()) -> DataFrame:
         """Every version, tombstones included, with ``_seq`` and ``_deleted``."""
-        manifest, schema = manifest or self.manifest(), schema or self.schema()
+        manifest = manifest or self.manifest()
+        schema = schema or self.schema(manifest)
         return self._read([*([manifest["base"]] if manifest["base"] else []), *(f for f, _ in manifest["deltas"]), *(f for f, _ in staged)], schema)
 
-    def current(self, seq: int | None = None, manifest: dict | None = None, schema: TableSchema | None = None, staged: list[tuple[str, int]] = ()) -> DataFrame:
-        """The rows as of ``seq`` (now, if None), with a transaction's staged folders on top."""
-        manifest, schema = manifest or self.manifest(), schema or self.schema()
+    def current(self, seq: int | None = None, manifest: dict | None = None, schema: TableSchema | None = None, staged: list[tuple[str, int]] = (), shift: int = 0) -> DataFrame:
+        """The rows as of ``seq`` (now, if None), with a transaction's staged folders on top.
+
+        ``shift`` is added to the sequence numbers of staged rows, so that they stay above what others have published
+        since the transaction began. An earlier state has its own schema.
+        """
+        manifest = manifest or self.manifest()
         if seq is not None and seq < manifest["base_seq"]:
-            manifest = self._manifest_at(seq)
-        deltas = [f for f, s in [*manifest["deltas"], *staged] if seq is None or s <= seq]
+            manifest, schema = self._manifest_at(seq), None
+        schema = schema or self.schema(manifest)
+        deltas = [f for f, s in manifest["deltas"] if seq is None or s <= seq]
+        own = [f for f, s in staged if seq is None or s + shift <= seq]
         base = self._read([manifest["base"]] if manifest["base"] else [], schema)
         columns = ["id", *schema.names]
-        if not deltas:
+        if not deltas and not own:
             return base.select(*columns)
-        newer = latest(self._read(deltas, schema))
+        newer = latest(self._read(deltas, schema).unionByName(self._read(own, schema).withColumn("_seq", F.col("_seq") + shift)) if own else self._read(deltas, schema))
         kept = newer.where(~F.col("_deleted")).select(*columns)
         if not manifest["base"]:
             return kept
@@ -110,10 +127,10 @@ class Log:
         shaped.withColumns({"_seq": F.lit(seq).cast("long"), "_deleted": F.lit(deleted)}).write.parquet(f"{self.store.root}/data/{folder}")
         return folder
 
-    def publish(self, before: dict, folders: list[tuple[str, int]], base: str | None = None, base_seq: int | None = None) -> dict:
-        """Make folders part of the table; a manifest published since ``before`` is a Conflict."""
+    def publish(self, before: dict, folders: list[tuple[str, int]], base: str | None = None, base_seq: int | None = None, schema: TableSchema | None = None) -> dict:
+        """Make folders part of the table, with the schema if it changes; a manifest published since ``before`` is a Conflict."""
         seq = max([before["seq"], *(s for _, s in folders)])
-        new = {"version": before["version"] + 1, "seq": seq, "base": before["base"], "base_seq": before["base_seq"], "deltas": [*before["deltas"], *folders], "ts_ms": int(time.time() * 1000)}
+        new = {"version": before["version"] + 1, "seq": seq, "base": before["base"], "base_seq": before["base_seq"], "deltas": [*before["deltas"], *folders], "ts_ms": int(time.time() * 1000), "schema": (schema or self.schema(before)).to_json()}
         if base_seq is not None:
             new |= {"base": base, "base_seq": base_seq, "deltas": []}
         self.store.write(f"manifest/{new['version']:08d}.json", json.dumps(new), overwrite=False)
@@ -130,15 +147,28 @@ class Log:
         before, schema = self.manifest(), schema or self.schema()
         seq = before["seq"] + 1
         folder = self.stage(rows, schema, seq)
-        return self.publish(before | {"seq": seq}, [], folder, seq)
+        return self.publish(before | {"seq": seq}, [], folder, seq, schema)
 
     def compact(self) -> dict:
         """Rewrite the current rows as a new base; older versions stay readable by their manifests."""
         return self.replace(self.current())
 
     def recover(self, seq: int) -> dict:
-        """Publish the state as of ``seq`` as the newest one."""
-        return self.replace(self.current(seq))
+        """Publish the state as of ``seq``, with its schema, as the newest one."""
+        manifest = self.manifest()
+        at = self._manifest_at(seq) if seq < manifest["base_seq"] else manifest
+        schema = self.schema(at)
+        return self.replace(self.current(seq, at, schema), schema)
+
+    def sweep(self, older_ms: int = 3_600_000) -> list[str]:
+        """Delete folders that no manifest names and that are older than an hour, by default: what crashed statements
+        and lost transactions left. Gives their names."""
+        named = {f for v in self.versions() for m in [self.manifest(v)] for f in [m["base"], *(f for f, _ in m["deltas"])] if f}
+        limit = int(time.time() * 1000) - older_ms
+        gone = [n for n in self.store.names("data", folders=True) if n not in named and self.store.modified(f"data/{n}") <= limit]
+        for name in gone:
+            self.store.delete(f"data/{name}")
+        return gone
 
 
 def latest(log: DataFrame, seq: int | None = None) -> DataFrame:
