@@ -44,7 +44,6 @@ def test_run_against_brute_force(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(byte_bpe())
-    tokenizer.encode_special_tokens = True
     want = brute(spark, sf_dir)
     rows = corpus_pipeline.run(spark, sf_dir).withColumnRenamed("doc_id", "id").collect()
     assert Counter(r.id for r in rows if r.start == 0) == Counter(r[0] for r in want)

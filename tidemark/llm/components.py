@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links that one task handles: a small table of links isn't cut into as many tasks, and files, as the session's shuffles.
+TASK_LINKS = 100_000
+
+
+def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
     """One round over links (u, v) with u > v, each node's smallest neighbour found by a pre-aggregated minimum.
 
     Large star: every larger neighbour of a node moves to the smallest of its neighbourhood.
@@ -21,7 +25,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         low = links.groupBy("u").agg(F.min("v").alias("m"))
         moved = links.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return moved.where("u != v").distinct()
+    return moved.where("u != v").coalesce(tasks).distinct().coalesce(tasks)
 
 
 def _state(links: DataFrame) -> tuple:
@@ -40,7 +44,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     links = materialise(links)
     before = _state(links)
     while before[0]:
-        links = materialise(_star(_star(links, large=True), large=False))
+        tasks = -(-before[0] // TASK_LINKS)
+        links = materialise(_star(_star(links.coalesce(tasks), True, tasks), False, tasks))
         after = _state(links)
         if after == before:
             break
