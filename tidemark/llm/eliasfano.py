@@ -1,4 +1,4 @@
-"""Elias-Fano sequences in memory-mapped files, decoded block by block in numpy."""
+"""Elias-Fano sequences in memory-mapped files, searched in numpy without decoding them."""
 
 from __future__ import annotations
 
@@ -10,19 +10,22 @@ from functools import cached_property, lru_cache
 import numpy as np
 from pyarrow import fs
 
-#: Elements between two samples of the upper bits, blocks decoded at once, gap of blocks that is decoded rather than skipped.
-BLOCK, AT_ONCE, GAP = 128, 1 << 13, 8
+#: Files whose arrays a process keeps open.
+OPEN = 512
+#: Position of the k-th one (0 to 7) in each byte, by rule.
+_ONE_OF_BYTE = np.array([[([i for i in range(8) if byte >> i & 1] + [8] * 8)[k] for k in range(8)] for byte in range(256)], np.int64)
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
-    """A monotone sequence of non-negative int64: low bits packed, high bits in unary, a sample for each block."""
-    n = len(values)
+    """A monotone sequence of non-negative int64, less its first value: low bits packed, high bits in unary, and how
+    many ones stand before each word of these."""
+    n, base = len(values), int(values[0]) if len(values) else 0
+    values = values - base
     top = int(values[-1]) + 1 if n else 1
-    width = max(0, (top // max(1, n)).bit_length() - 1)
-    high = values >> width
-    ones = high + np.arange(n, dtype=np.int64)
-    upper = np.zeros((int(ones[-1]) + 1 if n else 0) + 7 >> 3, np.uint8)
-    np.bitwise_or.at(upper, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+    width = max(0, (top // max(1, n)).bit_length() - 2)
+    ones = (values >> width) + np.arange(n, dtype=np.int64)
+    upper = np.zeros((int(ones[-1]) + 1 if n else 0) // 64 + 2, np.uint64)
+    np.bitwise_or.at(upper, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
     low = np.zeros((n * width + 63) // 64 + 1, np.uint64)
     if width:
         part = (values & ((1 << width) - 1)).astype(np.uint64)
@@ -31,73 +34,88 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
         np.bitwise_or.at(low, word, part << shift)
         over = (shift.astype(np.int64) + width) > 64
         np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-    samples = np.append(ones[::BLOCK], len(upper) * 8).astype(np.int64)
-    return {"upper": upper, "low": low, "samples": samples, "about": np.array([n, width], np.int64)}
+    before = np.concatenate(([0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)[:-1])).astype(np.uint32)
+    return {"upper": upper, "low": low, "before": before, "about": np.array([n, width, base], np.int64)}
+
+
+def _kth_one(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) of each 64-bit word."""
+    place = np.zeros(len(words), np.int64)
+    for half in (32, 16, 8):
+        lower = words & np.uint64((1 << half) - 1)
+        count = np.bitwise_count(lower).astype(np.int64)
+        beyond = k >= count
+        k = k - count * beyond
+        place += half * beyond
+        words = np.where(beyond, words >> np.uint64(half), lower)
+    return place + _ONE_OF_BYTE[(words & np.uint64(255)).astype(np.int64), np.minimum(k, 7)]
 
 
 class Sequence:
-    """Reads what ``encode`` made."""
+    """Reads what ``encode`` made, many positions or keys at a time; no step depends on how far apart they are."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.upper, self.low, self.samples = parts["upper"], parts["low"], parts["samples"]
-        self.n, self.width = (int(x) for x in parts["about"])
+        self.upper, self.low, self.before = parts["upper"], parts["low"], parts["before"]
+        self.n, self.width, self.base = (int(x) for x in parts["about"])
+
+    @cached_property
+    def zeros_before(self) -> np.ndarray:
+        return np.arange(len(self.before), dtype=np.int64) * 64 - self.before
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.int64)
         bit = at * self.width
         word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        two = self.low[word] >> shift | np.where(shift > 0, self.low[np.minimum(word + 1, len(self.low) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        two = self.low[word] >> shift | self.low[np.minimum(word + 1, len(self.low) - 1)] << np.uint64(1) << (np.uint64(63) - shift)
         return (two & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
-    def blocks(self, first: int, last: int) -> np.ndarray:
-        """The values of blocks ``first`` to ``last`` (exclusive)."""
-        a, b = first * BLOCK, min(self.n, last * BLOCK)
-        start, end = int(self.samples[first]), int(self.samples[min(last, len(self.samples) - 1)])
-        bits = np.unpackbits(self.upper[start >> 3 : (end + 7) >> 3], bitorder="little")
-        ones = np.flatnonzero(bits[start & 7 :])[: b - a] + start
-        at = np.arange(a, b, dtype=np.int64)
-        return (ones - at << self.width) | self._lows(at)
-
-    @cached_property
-    def firsts(self) -> np.ndarray:
-        """The first value of each block."""
-        at = np.arange(0, self.n, BLOCK, dtype=np.int64)
-        return (self.samples[: len(at)] - at << self.width) | self._lows(at)
-
-    def _runs(self, blocks: np.ndarray):
-        """(first, last, start, stop): runs of blocks, and the part of the sorted array ``blocks`` that falls in them."""
-        if not len(blocks):
-            return
-        cuts = np.flatnonzero(np.diff(blocks) > GAP) + 1
-        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
-            while start < stop:
-                first = int(blocks[start])
-                here = start + int(np.searchsorted(blocks[start:stop], first + AT_ONCE))
-                yield first, int(blocks[here - 1]) + 1, start, here
-                start = here
-
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at sorted positions."""
-        out = np.empty(len(at), np.int64)
-        for first, last, start, stop in self._runs(at // BLOCK):
-            out[start:stop] = self.blocks(first, last)[at[start:stop] - first * BLOCK]
-        return out
+        word = np.searchsorted(self.before, at.astype(np.uint32), "right") - 1
+        place = (word << 6) + _kth_one(self.upper[word], at - self.before[word])
+        return ((place - at << self.width) | self._lows(at)) + self.base
+
+    def _after_zero(self, zero: np.ndarray) -> np.ndarray:
+        """The bit after each of the zeros numbered in order."""
+        word = np.searchsorted(self.zeros_before, zero, "right") - 1
+        return (word << 6) + _kth_one(~self.upper[word], zero - self.zeros_before[word]) + 1
+
+    def _run(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first position, position after the last) of the values with each of the sorted high parts."""
+        at, later = np.zeros(len(high), np.int64), int(np.searchsorted(high, 0, "right"))
+        at[later:] = self._after_zero(high[later:] - 1)
+        shift = (at & 63).astype(np.uint64)
+        bits = self.upper[at >> 6] >> shift
+        ones = np.bitwise_count(bits & ~(bits + np.uint64(1))).astype(np.int64)
+        first = at - high
+        last = first + ones
+        whole = np.flatnonzero(ones + shift.astype(np.int64) == 64)  # the run goes on in the next word
+        last[whole] = self._after_zero(high[whole]) - 1 - high[whole]
+        return first, last
 
     def lower_bound(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position of the successor, whether it equals the key) for sorted keys; the position is n beyond the end."""
-        place, same = np.empty(len(keys), np.int64), np.zeros(len(keys), bool)
-        blocks = np.maximum(np.searchsorted(self.firsts, keys, "left") - 1, 0)
         if not self.n:
-            place[:] = 0
-            return place, same
-        for first, last, start, stop in self._runs(blocks):
-            values = self.blocks(first, min(last + 1, -(-self.n // BLOCK)))
-            found = np.searchsorted(values, keys[start:stop])
-            place[start:stop] = found + first * BLOCK
-            inside = found < len(values)
-            same[start:stop] = inside & (values[np.minimum(found, len(values) - 1)] == keys[start:stop])
-        return place, same
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        keys = keys - self.base
+        high, low = keys >> self.width, keys & ((1 << self.width) - 1)
+        top = int(self.zeros_before[-1]) + 64 - int(np.bitwise_count(self.upper[-1]))  # zeros in all, so more than any high part
+        place, end = np.full(len(keys), self.n, np.int64), np.full(len(keys), self.n, np.int64)
+        inside = slice(*np.searchsorted(high, [0, top]).tolist())
+        place[: inside.start] = end[: inside.start] = 0
+        place[inside], end[inside] = self._run(high[inside])
+        np.minimum(place, self.n, out=place)
+        np.minimum(end, self.n, out=end)
+        a, b, going = place, end.copy(), np.flatnonzero(place < end)
+        while len(going):
+            middle = (a[going] + b[going]) >> 1
+            less = self._lows(middle) < low[going]
+            a[going[less]], b[going[~less]] = middle[less] + 1, middle[~less]
+            going = going[a[going] < b[going]]
+        same = a < end
+        same[same] = self._lows(a[same]) == low[same]
+        return a, same
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -121,7 +139,7 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
     system.move(part, at)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=OPEN)
 def open_file(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file: memory-mapped where the shared folder is mounted, read into memory elsewhere."""
     system, at = _place(path)
@@ -130,13 +148,16 @@ def open_file(path: str) -> dict[str, np.ndarray]:
     else:
         with system.open_input_file(at) as file:
             raw = np.frombuffer(file.read(), np.uint8)
+    raw = raw.view(np.ndarray)
     head = 8 + int.from_bytes(raw[:8].tobytes(), "little")
     about = json.loads(raw[8:head].tobytes())
     return {name: raw[head + offset : head + offset + n * np.dtype(kind).itemsize].view(kind) for name, (kind, offset, n) in about.items()}
 
 
-def parts_of(arrays: dict[str, np.ndarray], name: str) -> Sequence:
-    return Sequence({k.split(".", 1)[1]: v for k, v in arrays.items() if k.startswith(f"{name}.")})
+@lru_cache(maxsize=4 * OPEN)
+def sequence(path: str, name: str) -> Sequence:
+    """A named sequence of a file, opened once."""
+    return Sequence({k.split(".", 1)[1]: v for k, v in open_file(path).items() if k.startswith(f"{name}.")})
 
 
 def named(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices
-from .eliasfano import encode, named, open_file, parts_of, save
+from .common import map_arrow, scratch_path, slices
+from .eliasfano import encode, named, open_file, save, sequence
 
 ORDER, LEAST, DISCOUNT = 3, 1, 0.6
-#: Characters tokenised together, keys held before a task passes them on, steps of a quantised log10.
-TOGETHER, HELD, STEP = 12_000_000, 3_000_000, 4096
+#: Characters tokenised together, keys held before a task passes them on, steps of a quantised log10, rows of a batch
+#: (distinct n-grams are looked up once for each batch).
+TOGETHER, HELD, STEP, ROWS = 8_000_000, 3_000_000, 4096, 3_000
 END = 0  #: the key of the end of a text in the vocabulary
 
 
@@ -86,7 +87,7 @@ class Level:
         """Node of each of the sorted keys, -1 where it has none."""
         out = np.full(len(keys), -1, np.int64)
         for shard, part in self._each(self.keys, keys):
-            place, same = parts_of(open_file(shard.path), "keys").lower_bound(keys[part])
+            place, same = sequence(shard.path, "keys").lower_bound(keys[part])
             out[part] = np.where(same, place + shard.start, -1)
         return out
 
@@ -94,40 +95,36 @@ class Level:
         """``keys``, ``counts`` or ``alpha`` of sorted nodes."""
         out = np.zeros(len(nodes), np.int64)
         for shard, part in self._each(self.starts, nodes):
-            arrays, at = open_file(shard.path), nodes[part] - shard.start
+            at = nodes[part] - shard.start
             if what == "counts":
-                sums = parts_of(arrays, "sums")
-                both = np.union1d(at, at + 1)
-                values = sums.get(both)
-                out[part] = values[np.searchsorted(both, at + 1)] - values[np.searchsorted(both, at)]
+                sums = sequence(shard.path, "sums")
+                out[part] = sums.get(at + 1) - sums.get(at)
             elif what == "keys":
-                out[part] = parts_of(arrays, "keys").get(at)
+                out[part] = sequence(shard.path, "keys").get(at)
             else:
-                out[part] = arrays[what][at]
+                out[part] = open_file(shard.path)[what][at]
         return out
 
     def contexts(self, parents: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(node of the first child, quantised back-off mass) of sorted parents; -1 and 0 (mass one) without children."""
+        """(node of the first child, quantised back-off mass) of sorted parents; -1 and 0 (mass one) without children.
+
+        Only shards that hold children of some parent are looked at.
+        """
         first, mass = np.full(len(parents), -1, np.int64), np.zeros(len(parents), np.uint16)
-        for shard in self.shards:
-            a, b = np.searchsorted(parents, [shard.first >> width, (self._next_key(shard) >> width) + 1])
-            part = slice(int(a), int(b))
-            if a >= b:
-                continue
-            arrays = open_file(shard.path)
-            place, same = parts_of(arrays, "parents").lower_bound(parents[part])
+        begins = np.searchsorted(parents, self.keys >> width, "left")
+        ends = np.searchsorted(parents, np.append(self.keys[1:] >> width, 1 << 62), "right")
+        for i in np.flatnonzero(begins < ends).tolist():
+            shard, a = self.shards[i], int(begins[i])
+            part = slice(a, int(ends[i]))
+            place, same = sequence(shard.path, "parents").lower_bound(parents[part])
             new = same & (first[part] < 0)
             at = place[new]
             if len(at):
-                target = np.flatnonzero(new) + int(a)
-                first[target] = parts_of(arrays, "pointers").get(at) + shard.start
-                mass[target] = arrays["backoff"][at]
+                target = np.flatnonzero(new) + a
+                first[target] = sequence(shard.path, "pointers").get(at) + shard.start
+                mass[target] = open_file(shard.path)["backoff"][at]
         return first, mass
 
-    def _next_key(self, shard: Shard) -> int:
-        i = self.shards.index(shard)
-        return self.shards[i + 1].first if i + 1 < len(self.shards) else (1 << 62)
-
 
 class Reader:
     """Turns texts into nodes of the levels built so far."""
@@ -255,7 +252,7 @@ def _counting(texts: DataFrame, make, bounds: np.ndarray) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "shard int, blob binary")
+    return map_arrow(texts, run, "shard int, blob binary", ROWS)
 
 
 def _build(counted: DataFrame, folder: str, level: int, trie: Trie) -> list[dict]:
@@ -316,16 +313,14 @@ def _bounds(trie: Trie, spark, level: int, shards: int, fan: int) -> np.ndarray:
                 goals = np.arange(-(-(before + 1) // step), (before + total) // step + 1, dtype=np.int64) * step - before
                 goals = goals[(goals > 0) & (goals <= total)]
                 if len(goals):
-                    sums = parts_of(open_file(path), "sums")
+                    sums = sequence(path, "sums")
                     at = np.minimum(sums.lower_bound(goals)[0], n) - 1
-                    both = np.union1d(at, at + 1)
-                    values = sums.get(both)
-                    low, high = values[np.searchsorted(both, at)], values[np.searchsorted(both, at + 1)]
+                    low, high = sums.get(at), sums.get(at + 1)
                     share = (goals - low) / np.maximum(1, high - low)
                     keys = (at + start << width) | np.minimum((share * fan).astype(np.int64), (1 << width) - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
 
-    held = spark.createDataFrame(rows, "path string, start long, n long, total long, before long").mapInArrow(run, "key long").distinct().orderBy("key").collect()
+    held = map_arrow(spark.createDataFrame(rows, "path string, start long, n long, total long, before long"), run, "key long").distinct().orderBy("key").collect()
     return np.array([r[0] for r in held], np.int64)
 
 
@@ -418,4 +413,4 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
                 n, known, base, own = score_batch(trie, reader, batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["id", "n_tokens", "n_known", "base_score", "score"])
 
-    return rows.mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
+    return map_arrow(rows, run, "id long, n_tokens long, n_known long, base_score double, score double", ROWS)
