@@ -3,13 +3,15 @@
 The patterns find e-mail addresses, IPv4 addresses, payment cards and international phone numbers. The field adds what
 they can't: spelled-out addresses, national phone numbers, identity numbers, account numbers and secrets. It is trained
 on a small labelled table (``labelled_table``, or the caller's), by gradient ascent on the likelihood, and decoded by
-Viterbi over batches of token windows in numpy. Windows are the surroundings of every digit, ``@`` and cue word of a
-text; tokens elsewhere have no personal kind. The patterns' spans stay, and the field's never overlap them.
+Viterbi over whole texts in numpy batches. A token whose score for no kind leads by more than any transitions around it
+can make up for has no kind on every best path; texts are cut there, which leaves the best path as it is, and only the
+stretches between such tokens go through the lattice. The patterns' spans stay, and the field's never overlap them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow, slices
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "account", "secret")
 #: Patterns; each is scanned in linear time.
@@ -26,13 +30,14 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens of the field, what opens a window, and the characters that a window takes on each side.
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: Words that tell what follows; tokens that such a word reaches.
 CUES = ("token", "secret", "password", "passwd", "key", "apikey", "ssn", "iban", "account", "passport", "tel", "phone", "call", "fax", "mobile", "email", "mail", "at", "dot", "id", "card", "number", "no")
-OPENS = re.compile(rf"[0-9@]|(?<![^\W\d_])(?:{'|'.join(CUES)})(?![^\W\d_])", re.IGNORECASE)
-REACH = 56
-#: Tokens, with padding, that are decoded together; a longer stretch is decoded alone.
-TOGETHER = 1 << 16
+REACH = 6
+#: Tokens whose features are made at once, with neighbours beside them; tokens, with padding, decoded together; characters
+#: of the texts handled together.
+AT_ONCE, BESIDE, TOGETHER, SLICE = 1 << 15, 8, 1 << 15, 300_000
+#: Codes of shapes: digits by number, hexadecimal letters, other letters, text bounds, other characters.
+HEX, LETTERS, BEGIN, FINISH, OTHER = 10, 12, 28, 29, 32
 
 
 def luhn(digits: str) -> bool:
@@ -70,64 +75,98 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], BASE.index(s[2])))
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text that the field looks at, with white space around; what touches is one stretch, however long."""
-    near: list[list[int]] = []
-    for m in OPENS.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if near and a <= near[-1][1]:
-            near[-1][1] = b
-        else:
-            near.append([a, b])
-    out: list[tuple[int, int]] = []
-    for a, b in near:
-        done = out[-1][1] if out else 0
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        b = max(b, done)
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if out and a <= done:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
+@lru_cache(maxsize=1)
+def _characters() -> np.ndarray:
+    """For each code point: 0 space, 1 letter, 2 digit, 3 other; 4 is added to upper case and 8 to hexadecimal letters."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.full(len(every), 3, np.uint8)
+    for kind, pattern in ((1, r"[^\W\d_]+"), (2, r"\d+"), (0, r"\s+")):
+        for m in re.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    out[[i for i in np.flatnonzero(out == 1).tolist() if every[i].isupper()]] |= 4
+    out[[ord(c) for c in "abcdefABCDEF"]] |= 8
     return out
 
 
-def shape(token: str) -> str:
-    """Word shape: kind of characters and, for digits, how many."""
-    c = token[0]
-    if c.isdigit():
-        return f"d{len(token)}" if len(token) < 8 else "d8" if len(token) < 13 else "d13"
-    if c.isalpha():
-        if len(token) >= 2 and all(x in "abcdefABCDEF" for x in token):
-            return "h" if len(token) < 4 else "hh"
-        return ("X" if c.isupper() else "x") + ("X" if token[-1].isupper() else "x") + str(min(len(token), 4))
-    return token
+def _word_key(word: str) -> int:
+    return int.from_bytes(word.encode("ascii").ljust(8, b"\0"), "little")
 
 
-@lru_cache(maxsize=1 << 16)
-def _about(token: str) -> tuple[str, str]:
-    return shape(token), token.lower() if token.lower() in CUES else ""
+#: The cue words, all of at most eight letters, as numbers in order, and which cue each is.
+_CUE_KEYS = np.array(sorted(map(_word_key, CUES)), np.int64)
 
 
-def features(tokens: list[re.Match]) -> list[list[str]]:
-    """Features of each token: its own and its neighbours' shapes and cue words, and whether space stands before it."""
-    about = [("<", ""), ("<", ""), *(_about(t[0]) for t in tokens), (">", ""), (">", "")]
-    glued = [i > 0 and tokens[i - 1].end() == t.start() for i, t in enumerate(tokens)]
-    out = []
-    cue, since = "", 99
-    for i in range(len(tokens)):
-        (b2, _), (b1, _), (own, word), (a1, _), (a2, _) = about[i : i + 5]
-        near = f"c={cue}" if since < 6 else "c="
-        out.append([f"s={own}", f"w={word}", f"p={b1}{'+' if glued[i] else ' '}{own}", f"n={own}{a1}", f"pp={b2}{b1}", f"nn={a1}{a2}", near, f"{near}|{own}", f"t={b1}{own}{a1}"])
-        cue, since = (word, 0) if word else (cue, since + 1)
-    return out
+@dataclass
+class Tokens:
+    """Tokens of some texts: the text of each, where it begins and ends in the text, shape and cue word (0: none)."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    shape: np.ndarray
+    cue: np.ndarray
+
+
+def tokens_of(texts: list[str]) -> Tokens:
+    """Runs of letters, runs of digits, and other characters but white space one by one."""
+    joined = "\n".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    about = _characters()[points]
+    kind = about & 3
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+    bounds = np.append(np.flatnonzero(new), len(kind)).astype(np.int32)
+    keep = kind[bounds[:-1]] > 0 if len(kind) else np.zeros(0, bool)
+    start, end = bounds[:-1][keep], bounds[1:][keep]
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    owner = (np.searchsorted(begins, start, "right") - 1).astype(np.int32)
+    size, first, last = end - start, about[start], about[end - 1]
+    hexes = np.concatenate(([0], np.cumsum(about >> 3 & 1, dtype=np.int32)))
+    letters = LETTERS + ((first >> 2 & 1) * 2 + (last >> 2 & 1)) * 4 + np.minimum(size, 4) - 1
+    letters = np.where((size >= 2) & (hexes[end] - hexes[start] == size), HEX + (size >= 4), letters)
+    digits = np.where(size < 8, size, np.where(size < 13, 8, 9))
+    other = OTHER + np.minimum(points[start], 128).astype(np.int64)
+    sort = first & 3
+    shape = np.where(sort == 1, letters, np.where(sort == 2, digits, other)).astype(np.uint8)
+    cue = np.zeros(len(start), np.uint8)
+    short = np.flatnonzero((sort == 1) & (size <= 8) & (size > 1))
+    key = np.zeros(len(short), np.int64)
+    for i in range(8):
+        on = size[short] > i
+        c = points[np.minimum(start[short] + i, len(points) - 1)]
+        c = np.where((c >= 65) & (c <= 90), c + 32, np.where(c < 128, c, 0)).astype(np.int64)
+        key |= np.where(on, c, 0) << 8 * i
+    at = np.minimum(np.searchsorted(_CUE_KEYS, key), len(_CUE_KEYS) - 1)
+    cue[short] = np.where(_CUE_KEYS[at] == key, at + 1, 0)
+    return Tokens(owner, start - begins[owner].astype(np.int32), end - begins[owner].astype(np.int32), shape, cue)
+
+
+def features(tokens: Tokens, a: int, b: int) -> np.ndarray:
+    """Keys of the features of tokens ``a`` to ``b``, one row each: a token's own and its neighbours' shapes and cue
+    words, and whether space stands before it. The first byte tells the kind of feature."""
+    low, high = max(0, a - BESIDE), min(len(tokens.owner), b + BESIDE)
+    part = lambda x: x[low:high].astype(np.int64)
+    owner, start, end, own, cue = map(part, (tokens.owner, tokens.start, tokens.end, tokens.shape, tokens.cue))
+
+    def beside(step: int, bound: int) -> np.ndarray:
+        out = np.full(len(own), bound, np.int64)
+        here, there = (slice(step, None), slice(None, -step)) if step > 0 else (slice(None, step), slice(-step, None))
+        out[here] = np.where(owner[here] == owner[there], own[there], bound)
+        return out
+
+    b1, b2, a1, a2 = beside(1, BEGIN), beside(2, BEGIN), beside(-1, FINISH), beside(-2, FINISH)
+    glued = np.zeros(len(own), np.int64)
+    glued[1:] = (owner[1:] == owner[:-1]) & (start[1:] == end[:-1])
+    place = np.arange(len(own))
+    last = np.concatenate(([-1], np.maximum.accumulate(np.where(cue > 0, place, -1))[:-1])) if len(own) else place
+    near = np.where((last >= 0) & (place - last <= REACH) & (owner[last] == owner), cue[last], 0)
+    rows = (own, cue, b1 << 16 | glued << 8 | own, own << 8 | a1, b2 << 8 | b1, a1 << 8 | a2, near, near << 8 | own, b1 << 16 | own << 8 | a1)
+    return np.stack([np.int64(i) << 32 | row for i, row in enumerate(rows)], axis=1)[a - low : b - low]
 
 
 @dataclass
 class Field:
-    index: dict[str, int]
+    index: np.ndarray  # keys of the known features in order
     emit: np.ndarray  # (features + 1, labels); the last row is of unknown features, zero
     move: np.ndarray  # (labels, labels)
 
@@ -136,9 +175,22 @@ class Field:
         return ("", *KINDS)
 
 
-def _coded(index: dict[str, int], rows: list[list[str]]) -> np.ndarray:
-    unknown = len(index)
-    return np.array([[index.get(f, unknown) for f in row] for row in rows], np.int64)
+def _coded(index: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(index, keys), max(0, len(index) - 1))
+    return np.where(index[at] == keys, at, len(index)) if len(index) else np.zeros(keys.shape, np.int64)
+
+
+def emissions(field: Field, tokens: Tokens) -> np.ndarray:
+    """(tokens, labels): the sum of each token's feature weights."""
+    out, n = np.empty((len(tokens.owner), field.emit.shape[1]), np.float32), len(tokens.owner)
+    emit = field.emit.astype(np.float32)
+    for a in range(0, n, AT_ONCE):
+        b = min(n, a + AT_ONCE)
+        coded = _coded(field.index, features(tokens, a, b))
+        out[a:b] = emit[coded[:, 0]]
+        for column in coded.T[1:]:
+            out[a:b] += emit[column]
+    return out
 
 
 def labelled_table(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -186,32 +238,29 @@ def labelled_table(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[in
     return rows
 
 
-def _lattice(field: Field, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Padded emission scores (sequences, steps, labels) and the sequences' lengths."""
-    lengths = np.array([len(s) for s in sequences])
-    scores = np.zeros((len(sequences), lengths.max(), field.emit.shape[1]))
-    flat = field.emit[np.concatenate(sequences)].sum(axis=1)
-    scores[np.repeat(np.arange(len(lengths)), lengths), np.concatenate([np.arange(k) for k in lengths])] = flat
-    return scores, lengths
+def _lattice(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Padded (sequences, steps, labels) of sequences that begin at ``starts`` in ``scores``."""
+    out = np.zeros((len(lengths), int(lengths.max()), scores.shape[1]), scores.dtype)
+    step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(np.arange(len(lengths)), lengths), step] = scores[np.repeat(starts, lengths) + step]
+    return out
 
 
 def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, rounds: int = 60, rate: float = 0.2, penalty: float = 1e-4) -> Field:
     """Fit emission and transition weights to a labelled table by Adam on the penalised log-likelihood."""
     table = labelled_table() if table is None else table
-    names, rows, golds = ("", *KINDS), [], []
-    for text, spans in table:
-        tokens = list(TOKEN.finditer(text))
-        if tokens:
-            rows.append(features(tokens))
-            golds.append(np.array([next((names.index(k) for a, b, k in spans if a <= t.start() and t.end() <= b), 0) for t in tokens]))
-    index = {f: i for i, f in enumerate(sorted({f for row in rows for fs in row for f in fs}))}
-    coded, n = [_coded(index, row) for row in rows], len(names)
+    names, tokens = ("", *KINDS), tokens_of([t for t, _ in table])
+    count, n = len(tokens.owner), len(names)
+    keys = features(tokens, 0, count)
+    index = np.unique(keys)
     field = Field(index, np.zeros((len(index) + 1, n)), np.zeros((n, n)))
-    if not coded:
+    if not count:
         return field
-    flat, gold = np.concatenate(coded), np.concatenate(golds)
-    lengths = np.array([len(g) for g in golds])
-    owner, place = np.repeat(np.arange(len(lengths)), lengths), np.concatenate([np.arange(k) for k in lengths])
+    gold = np.array([next((names.index(k) for a, b, k in table[i][1] if a <= start and end <= b), 0) for i, start, end in zip(tokens.owner, tokens.start, tokens.end, strict=True)])
+    flat = _coded(index, keys)
+    _, lengths = np.unique(tokens.owner, return_counts=True)
+    starts = np.cumsum(lengths) - lengths
+    owner, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(count) - np.repeat(starts, lengths)
     seen = np.zeros_like(field.emit)
     np.add.at(seen, (flat, gold[:, None]), 1)
     moves = np.zeros((n, n))
@@ -220,7 +269,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, rou
     memory = [[np.zeros_like(w), np.zeros_like(w)] for w in (field.emit, field.move)]
     soft = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
     for step in range(1, rounds + 1):
-        scores, _ = _lattice(field, coded)
+        scores = _lattice(field.emit[flat].sum(axis=1), starts, lengths)
         count, steps, _ = scores.shape
         forward, backward = np.zeros_like(scores), np.zeros_like(scores)
         forward[:, 0] = scores[:, 0]
@@ -252,30 +301,40 @@ def default_field() -> Field:
     return train()
 
 
-def decode(field: Field, sequences: list[np.ndarray]) -> list[np.ndarray]:
-    """The best labels of each coded sequence: Viterbi over sequences of like length together."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
-    order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))
+def decode(field: Field, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The best label of each row of ``scores``, which holds sequences of ``lengths`` rows one after the other."""
+    move = field.move.astype(scores.dtype)
+    out, starts = np.zeros(len(scores), np.int8), np.cumsum(lengths) - lengths
+    # what another label than none could gain by its transitions; a token that leads by more is on every best path
+    gain = np.maximum(0, (move[:, 1:] - move[:, :1]).max(axis=0)) + np.maximum(0, (move[1:] - move[:1]).max(axis=1))
+    sure = (scores[:, :1] - scores[:, 1:] > gain + 1e-3).all(axis=1)
+    edge = np.zeros(len(scores) + 1, bool)  # before which rows a sequence begins
+    edge[starts], edge[-1] = True, True
+    open_ = ~sure
+    begins = np.flatnonzero(open_ & (edge[:-1] | np.concatenate(([True], sure[:-1])))) if len(scores) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(open_ & (edge[1:] | np.concatenate((sure[1:], [True])))) + 1 if len(scores) else begins
+    size = ends - begins
+    order = np.argsort(size, kind="stable")
     at = 0
     while at < len(order):
         to = at + 1
-        while to < min(len(order), at + 512) and (to - at + 1) * len(sequences[order[to]]) <= TOGETHER:
+        while to < min(len(order), at + 4096) and (to - at + 1) * size[order[to]] <= TOGETHER:
             to += 1
         part, at = order[at:to], to
-        scores, lengths = _lattice(field, [sequences[i] for i in part])
-        best, back = scores[:, 0], np.zeros(scores.shape, np.int8)
-        for t in range(1, scores.shape[1]):
-            reach = best[:, :, None] + field.move
+        lattice, n = _lattice(scores, begins[part], size[part]), size[part]
+        lattice[:, 0] += np.where(edge[begins[part]], 0, move[0][:, None]).T
+        lattice[np.arange(len(part)), n - 1] += np.where(edge[ends[part]], 0, move[:, 0][:, None]).T
+        best, back = lattice[:, 0], np.zeros(lattice.shape, np.int8)
+        for t in range(1, lattice.shape[1]):
+            reach = best[:, :, None] + move
             back[:, t] = reach.argmax(axis=1)
-            best = np.where((lengths > t)[:, None], reach.max(axis=1) + scores[:, t], best)
-        labels = np.zeros(scores.shape[:2], np.int64)
+            best = np.where((n > t)[:, None], reach.max(axis=1) + lattice[:, t], best)
         now = best.argmax(axis=1)
-        for t in range(scores.shape[1] - 1, -1, -1):
-            labels[:, t] = now
+        for t in range(lattice.shape[1] - 1, -1, -1):
+            on = n > t
+            out[begins[part][on] + t] = now[on]
             if t:
-                now = np.where(lengths > t, back[np.arange(len(part)), t, now], now)
-        for row, i in enumerate(part):
-            out[i] = labels[row, : lengths[row]]
+                now = np.where(on, back[np.arange(len(part)), t, now], now)
     return out
 
 
@@ -296,28 +355,23 @@ def _plausible(kind: str, text: str) -> bool:
 
 def find_batch(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     """(the patterns' spans, all spans) of each text, as (start, end, kind) in order."""
-    base, jobs, rows = [base_spans(t) for t in texts], [], []
-    for i, text in enumerate(texts):
-        for a, b in windows(text):
-            tokens = list(TOKEN.finditer(text, a, b))
-            if tokens:
-                jobs.append((i, tokens))
-                rows.append(_coded(field.index, features(tokens)))
+    tokens = tokens_of(texts)
+    lengths = np.bincount(tokens.owner, minlength=len(texts))
+    labels = decode(field, emissions(field, tokens), lengths[lengths > 0])
     more: list[list] = [[] for _ in texts]
-    for (i, tokens), labels in zip(jobs, decode(field, rows), strict=True):
-        at = 0
-        while at < len(labels):
-            to = at + 1
-            while to < len(labels) and labels[to] == labels[at]:
-                to += 1
-            if labels[at]:
-                start, end, kind = tokens[at].start(), tokens[to - 1].end(), field.labels[labels[at]]
-                if _plausible(kind, texts[i][start:end]):
-                    more[i].append((start, end, kind))
-            at = to
+    new = np.ones(len(labels), bool)
+    new[1:] = (labels[1:] != labels[:-1]) | (tokens.owner[1:] != tokens.owner[:-1])
+    bounds = np.append(np.flatnonzero(new), len(labels))
+    named = np.flatnonzero(labels[bounds[:-1]]) if len(labels) else []
+    for a, b in zip(bounds[:-1][named].tolist(), (bounds[1:][named] - 1).tolist(), strict=True):
+        i, start, end, kind = int(tokens.owner[a]), int(tokens.start[a]), int(tokens.end[b]), field.labels[labels[a]]
+        if _plausible(kind, texts[i][start:end]):
+            more[i].append((start, end, kind))
     out = []
-    for own, extra in zip(base, more, strict=True):
-        extra = [x for x in extra if all(x[1] <= a or b <= x[0] for a, b, _ in own)] if extra else []
+    for own, extra in zip(map(base_spans, texts), more, strict=True):
+        if extra and own:  # own spans begin in order; of those that begin before an extra one's end none may end after its start
+            begins, reach = [a for a, *_ in own], np.maximum.accumulate([b for _, b, _ in own])
+            extra = [x for x in extra if not (k := bisect_left(begins, x[1])) or reach[k - 1] <= x[0]]
         out.append((own, sorted([*own, *extra], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))))
     return out
 
@@ -337,12 +391,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for a, b in slices(batch.column(1), SLICE):
+                part = batch.slice(a, b - a)
                 found = find_batch(field, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(s) for _, s in found], pa.string())], ["id", "base", "spans"])
 
-    return rows.mapInArrow(run, "id long, base string, spans string")
+    return map_arrow(rows, run, "id long, base string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -356,20 +410,24 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def mask(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", field: Field | None = None) -> DataFrame:
-    """``docs`` with personal data masked in ``text_col`` and ``chars_col`` (if there) set to the new length."""
+    """``docs`` with personal data masked in ``text_col`` and ``chars_col`` (if there) set to the new length.
+
+    Null texts stay null and a text without personal data stays as it is, with its length. Every row is kept, repeated
+    rows and null ids too, with all columns whatever their names; an empty table gives an empty one.
+    """
     field, names, schema = field or default_field(), docs.columns, docs.schema
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(names.index(text_col)).to_pylist()
-            found = [x for at in range(0, len(texts), 512) for x in find_batch(field, [t or "" for t in texts[at : at + 512]])]
-            new = [t if t is None else masked(t, s) for t, (_, s) in zip(texts, found, strict=True)]
-            columns = list(batch.columns)
-            columns[names.index(text_col)] = pa.array(new, batch.schema.field(text_col).type)
-            if chars_col in names:
-                at = names.index(chars_col)
-                old = batch.column(at)
-                columns[at] = pa.array([c if t == u else len(u) for c, t, u in zip(old.to_pylist(), texts, new, strict=True)], old.type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, schema)
+        for whole in batches:
+            for a, b in slices(whole.column(names.index(text_col)).cast(pa.string()), SLICE):
+                batch = whole.slice(a, b - a)
+                texts, columns = batch.column(names.index(text_col)).to_pylist(), list(batch.columns)
+                new = [t if t is None else masked(t, s) for t, (_, s) in zip(texts, find_batch(field, [t or "" for t in texts]), strict=True)]
+                columns[names.index(text_col)] = pa.array(new, batch.schema.field(text_col).type)
+                if chars_col in names:
+                    at = names.index(chars_col)
+                    old = batch.column(at)
+                    columns[at] = pa.array([c if t == u else len(u) for c, t, u in zip(old.to_pylist(), texts, new, strict=True)], old.type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_arrow(docs, run, schema)
