@@ -16,7 +16,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
     return t
 
 

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit words")
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -23,39 +25,50 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s | \s|\A | \Z")
 #: Words whose ids one worker keeps, and pieces packed together.
-CACHE, TOGETHER = 1 << 18, 1 << 16
+CACHE, TOGETHER = 1 << 16, 1 << 16
 
 
 @lru_cache(maxsize=2)
 def _encoding(path: str):
-    """The vocabulary of a ``tokenizers`` file of byte-level BPE, whose ids are also its merge ranks, for tiktoken."""
+    """The vocabulary of a ``tokenizers`` file of byte-level BPE, whose ids are also its merge ranks, for tiktoken, and
+    the ids of its added tokens."""
     import tiktoken
 
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    if any(t.get(flag) for t in spec.get("added_tokens", ()) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in what is beside them aren't known")
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
     ranks = {bytes(letters[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 class Encoder(dict):
     """Ids of a byte-level BPE vocabulary as little-endian 32-bit bytes, word by word with a bounded cache.
 
     A pre-token of this vocabulary's pattern never reaches over a lone space, it starts with it; so the words'
-    ids one after the other are the text's ids.
+    ids one after the other are the text's ids. Added tokens that stand in a text have their own ids, and what is
+    between them is encoded by itself.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self._plain = _encoding(path).encode_ordinary
+        encoding, special = _encoding(path)
+        self._plain, self._special = encoding.encode_ordinary, {t: array("I", [i]).tobytes() for t, i in special.items()}
+        self._cut = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
 
     def __missing__(self, word: str) -> bytes:
         self[word] = ids = array("I", self._plain(" " + word)).tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self._cut and any(t in text for t in self._special):
+            return b"".join(self._special[part] if i % 2 else self._between(part) for i, part in enumerate(self._cut.split(text)))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         if not text:
             return b""
         if len(self) > CACHE:
@@ -137,14 +150,17 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_arrow(rows, run, "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: windows of at most ``size`` ids, gapless from offset 0.
 
     Pieces are dealt evenly by a hash of all their columns and packed in runs of at most ``TOGETHER`` (so memory is
-    bounded and only the last windows of each run stay partly empty); sequence ids are unique, not dense.
+    bounded and only the last windows of each run stay partly empty); what is left over of a run begins the next one.
+    Sequence ids are unique, not dense. Equal pieces are pieces like any other, of windows with equal room any may be
+    taken, columns besides the named are not read, and an empty table gives an empty one. Lengths and ids come from
+    ``pieces``, so only ``id`` may be null.
     """
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens"]
     dealt = cut.repartition(F.xxhash64(*columns)).sortWithinPartitions(*columns)
@@ -153,12 +169,13 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
         base = TaskContext.get().partitionId() << 40
         held: list[pa.RecordBatch] = []
 
-        def flush():
+        def flush(last: bool):
             nonlocal base, held
             table = pa.Table.from_batches(held)
-            held = []
-            for at in range(0, table.num_rows, TOGETHER):
-                part = table.slice(at, TOGETHER)
+            whole = table.num_rows if last else table.num_rows // TOGETHER * TOGETHER
+            held = table.slice(whole).combine_chunks().to_batches()
+            for at in range(0, whole, TOGETHER):
+                part = table.slice(at, min(TOGETHER, whole - at))
                 window, offset = best_fit(part.column("length").to_pylist(), size)
                 yield from part.append_column("sequence_id", pa.array(np.array(window, np.int64) + base)).append_column("offset", pa.array(offset, pa.int64())).combine_chunks().to_batches()
                 base += part.num_rows
@@ -166,8 +183,8 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= TOGETHER:
-                yield from flush()
+                yield from flush(False)
         if held:
-            yield from flush()
+            yield from flush(True)
 
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"]))
+    return map_arrow(dealt, run, ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"]))
