@@ -22,8 +22,8 @@ def test_order_and_increments(spark):
 def test_lanes_are_sums_of_hash_bits(spark):
     frame = spark.createDataFrame([([5, -3, 2**62 + 7, 5],)], "h array<long>")
     packed = frame.select(multiset.summed(F.col("h")).alias("p")).first().p
-    held = [packed[1 + k] >> 21 * i & (1 << 20) - 1 for i in range(3) for k in range(21)]
-    want = [sum(h >> 21 * i + k & 1 for h in (5, -3, 2**62 + 7, 5)) for i in range(3) for k in range(21)]
+    held = [packed[1 + k] >> 31 * i & (1 << 30) - 1 for i in range(2) for k in range(31)]
+    want = [sum(h >> 31 * i + k & 1 for h in (5, -3, 2**62 + 7, 5)) for i in range(2) for k in range(31)]
     assert packed[0] == 4 and held == want
 
 
@@ -45,6 +45,13 @@ def test_edited_against_brute_force(docs, corpus):
     assert rows[205].near_edited > rows[205].near_next
 
 
+def test_likeness_of_many_repeated_lines(spark):
+    rows = [(1, "one and the same line\n" * 600_000), (2, "one and the same line\n" * 2000), (3, "quite another line here\n" * 2000)]
+    found = {r.id: r for r in multiset.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # 600,000 lines become 302,000 of the same: twice the product over the sum of squares
+    assert abs(found[1].near_edited - 2 * 302 * 600 / (302**2 + 600**2)) < 0.001 and found[2].near_next < 0.3
+
+
 def test_many_buckets(docs, monkeypatch):
     want = sorted(multiset.edited(docs).select("id", "edited_sha256").collect(), key=str)
     monkeypatch.setattr(multiset, "BUCKET_ROWS", 3)

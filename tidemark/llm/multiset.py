@@ -2,11 +2,12 @@
 
 A text is the multiset of its paragraphs (lines) and of the blocks of up to eight words that each paragraph is cut
 into. Every element is hashed to a wide vector of ``LANES`` bits; the fingerprint is the lane-wise sum of these vectors
-modulo 2**20, with the number of elements as one lane more. Sums don't depend on order, and elements can be added or
+modulo 2**30, with the number of elements as one lane more. Sums don't depend on order, and elements can be added or
 taken away (``combine``) without the rest of the text. Read as signs, the lanes are random projections, so two
 fingerprints also tell how much their multisets have in common (``likeness``).
 
-Three lanes of 20 bits, each under a guard bit, lie in one long; the guard bits are cleared after each addition.
+Two lanes of 30 bits, each under a guard bit, lie in one long; the guard bits are cleared after each addition. No text
+that a string can hold has the 2^29 elements from which on a lane's sign would be lost.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shape of the fingerprint: slots of 21 bits (20 used) in a long, rounds of 63 hash bits.
-SLOT, SLOTS, ROUNDS = 21, 3, 2
+#: Shape of the fingerprint: slots of 31 bits (30 used) in a long, rounds of 62 hash bits.
+SLOT, SLOTS, ROUNDS = 31, 2, 2
 LANES = SLOT * SLOTS * ROUNDS
 ONES = sum(1 << SLOT * i for i in range(SLOTS))
 LOW = (1 << SLOT - 1) - 1
@@ -58,7 +59,7 @@ def as_hex(packed: Column) -> Column:
 
 
 def signed_lanes(packed: Column) -> Column:
-    """Lanes as sums of signs, 2 * lane - count, in the signed range modulo 2**20."""
+    """Lanes as sums of signs, 2 * lane - count, in the signed range modulo 2**30."""
     half = (LOW + 1) // 2
     words = F.slice(packed, 2, SLOT * ROUNDS)
     value = lambda w, i: F.pmod(F.call_function("shiftright", w, F.lit(SLOT * i)).bitwiseAND(F.lit(LOW)) * 2 - packed[0] + half, F.lit(LOW + 1)) - half
