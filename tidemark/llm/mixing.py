@@ -91,11 +91,17 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """``docs`` with each row repeated as often as ``copies`` says, all columns kept."""
+    """``docs`` with each row repeated as often as ``copies`` says, all columns kept, whatever their names.
+
+    Null texts have no words, and null sources are a source of their own, the last. Repeated rows are rows like any
+    other; documents of one size stand in the order of their hashed ids, equal ids in any. An empty table gives an
+    empty one.
+    """
     drawn = _drawn(docs, id_col, text_col, source_col, seed)
     goal = materialise(targets(docs.select(drawn["__source"].alias("source"), drawn["__size"].alias("size")), weights, most))
-    taken = _taken(docs.withColumns(drawn), goal, seed).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in drawn.items()))  # so that no name of the caller's meets one of ours
+    taken = _taken(rows, goal, seed).where("__copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select("row.*")
 
 
 #: The query's rows in DuckDB.

@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives and unlabelled web text are drawn as bounded samples; the class prior is the share of good rows among
-the labelled ones. A logistic scorer over text statistics minimises the non-negative unbiased risk: with prior p, the
+Trusted positives and unlabelled web text are drawn as bounded samples; the class prior, the share of good text among
+the unlabelled, is estimated from these two alone: wherever a score cuts, the share of the unlabelled above it is at
+least the prior times that of the positives, and the least such bound is taken (Scott 2015). A logistic scorer over text statistics minimises the non-negative unbiased risk: with prior p, the
 risk of calling unlabelled text bad, less p times that of calling positives bad, estimates the risk on bad text; where
 a batch's estimate falls below zero the step climbs back instead (Kiryo et al. 2017).
 """
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 #: Most rows of either sample, gradient steps, rows of a batch, learning rate, weight penalty.
 SAMPLE, STEPS, BATCH, RATE, PENALTY = 4000, 800, 512, 0.02, 1e-3
@@ -122,15 +123,34 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Scorer(mean, scale, kept[:-1], float(kept[-1]), prior)
 
 
+def class_prior(positives: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+    """The share of good rows among ``unlabelled``: the least ratio of the shares of both above a score.
+
+    Scores come from a scorer fitted to even odds; cuts are those that leave at least the share ``least`` of the
+    positives above, where a ratio is no matter of a few rows. Without rows of either kind it is one half.
+    """
+    if not len(positives) or not len(unlabelled):
+        return 0.5
+    ranker = fit(positives, unlabelled, 0.5)
+    p, u = np.sort(ranker.score(positives)), np.sort(ranker.score(unlabelled))
+    cuts = np.quantile(p, np.linspace(0, 1 - least, 81))
+    above = lambda x: 1 - np.searchsorted(x, cuts, "left") / len(x)
+    return float(np.clip((above(u) / above(p)).min(), 0.01, 0.99))
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features): the statistics of each row's whole text as 32-bit floats in one binary value."""
+    """(id, features): the statistics of each row's whole text as 32-bit floats in one binary value.
+
+    A null text counts as empty; repeated rows and null ids are rows like any other; only the two columns are read; an
+    empty table gives an empty one.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "features"])
 
-    return rows.mapInArrow(run, "id long, features binary")
+    return map_arrow(rows, run, "id long, features binary")
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
@@ -149,24 +169,24 @@ def _sample(rows: DataFrame, most: int) -> np.ndarray:
 def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Scorer:
     """Fit on ``rows`` (id, features) and ``labels`` (id, 0 or 1): at most ``sample`` positives and as many unlabelled.
 
-    Unlabelled text is a sample of all ``rows``, good and bad; the prior is the share of label 1 among labelled ids,
-    with one of each kind added. Null labels and ids are ignored; an id with several labels counts with its largest.
+    Unlabelled text is a sample of all ``rows``, good and bad, whose labels aren't looked at; rows labelled 0 are not
+    used as such. Null labels and ids are ignored; an id with several labels counts with its largest.
     """
     marks = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("mark")).where("id is not null and mark is not null").groupBy("id").agg(F.max("mark").alias("mark"))
-    good, total = marks.agg(F.count_if(F.col("mark") == 1), F.count(F.lit(1))).first()
-    positives = rows.join(marks.where("mark = 1"), "id", "left_semi")
-    return fit(_sample(positives, sample), _sample(rows, sample), (good + 1) / (total + 2))
+    positives = _sample(rows.join(marks.where("mark = 1"), "id", "left_semi"), sample)
+    unlabelled = _sample(rows, sample)
+    return fit(positives, unlabelled, class_prior(positives, unlabelled))
 
 
 def score(rows: DataFrame, scorer: Scorer) -> DataFrame:
-    """(id, score) from (id, features)."""
+    """(id, score) from (id, features), 0 to 1; equal features have equal scores, and repeated rows and null ids stay."""
 
     def run(batches):
         for batch in batches:
             matrix = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(matrix), pa.float64())], ["id", "score"])
 
-    return rows.mapInArrow(run, "id long, score double")
+    return map_arrow(rows, run, "id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

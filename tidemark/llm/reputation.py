@@ -37,18 +37,25 @@ def suffix_of(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*)\z", 1)
 
 
-def _level(counts: DataFrame, key: str, parent: str) -> DataFrame:
-    """Posterior means of a level from (key, parent, n, bad, prior): prior strength by moments among siblings."""
-    share = F.col("bad") / F.col("n")
-    spread = counts.where("n > 0").groupBy(F.col(parent).alias("__parent")).agg(
-        F.sum("n").alias("all_n"), F.sum(F.col("n") * (share - F.col("prior")) * (share - F.col("prior"))).alias("square"), F.count(F.lit(1)).alias("groups"), F.first("prior").alias("mean"),
-    )
-    # E[square] = mean (1 - mean) * (groups + (all_n - groups) * rho), strength = 1 / rho - 1
-    noise = F.col("mean") * (1 - F.col("mean"))
-    rho = F.try_divide(F.try_divide(F.col("square"), noise) - F.col("groups"), (F.col("all_n") - F.col("groups")).cast("double"))
+def _strength(square: Column, noise: Column, groups: Column, all_n: Column) -> Column:
+    """A prior's strength by moments: E[square] = noise * (groups + (all_n - groups) * rho), strength = 1 / rho - 1."""
+    rho = F.try_divide(F.try_divide(square, noise) - groups, (all_n - groups).cast("double"))
     strength = F.when(rho > 0, 1 / F.greatest(rho, F.lit(1e-9)) - 1).otherwise(STRONGEST)
-    spread = spread.select("__parent", F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(strength, F.lit(STRONGEST)))).alias("strength"))
-    joined = counts.join(spread, counts[parent].eqNullSafe(F.col("__parent")), "left").withColumn("strength", F.coalesce("strength", F.lit(STRONGEST)))
+    return F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(strength, F.lit(STRONGEST))))
+
+
+def _level(counts: DataFrame, parent: str | None) -> DataFrame:
+    """Posterior means of a level from its rows (n, bad, prior): prior strength by moments among siblings, which have
+    the same ``parent`` (all rows have, if None; then the one strength comes to the driver)."""
+    share = F.col("bad") / F.col("n")
+    square = F.sum(F.col("n") * (share - F.col("prior")) * (share - F.col("prior")))
+    strength = _strength(square, F.first("prior") * (1 - F.first("prior")), F.count(F.lit(1)), F.sum("n")).alias("strength")
+    seen = counts.where("n > 0")
+    if parent is None:
+        joined = counts.withColumn("strength", F.lit(seen.agg(strength).first()[0]).cast("double"))
+    else:
+        joined = counts.join(seen.groupBy(parent).agg(strength), parent, "left")
+    joined = joined.withColumn("strength", F.coalesce("strength", F.lit(STRONGEST)))
     a, b = F.col("prior") * F.col("strength") + F.col("bad"), (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")
     return joined.select(*counts.columns, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
 
@@ -64,9 +71,9 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, bound: float = BOUND) -> D
     every = hosts.where("host is not null").select("host").distinct().join(seen, "host", "left").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     totals = lambda by: every.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     bad, n = seen.agg(F.sum("bad"), F.sum("n")).first()
-    suffixes = _level(totals(["suffix"]).withColumns({"prior": F.lit(((bad or 0) + 0.5) / ((n or 0) + 1.0)), "__all": F.lit(0)}), "suffix", "__all").select("suffix", F.col("mean").alias("prior"))
-    domains = _level(totals(["domain", "suffix"]).join(suffixes, "suffix"), "domain", "suffix").select("domain", F.col("mean").alias("prior"))
-    posterior = _level(every.join(domains, "domain"), "host", "domain")
+    suffixes = _level(totals(["suffix"]).withColumn("prior", F.lit(((bad or 0) + 0.5) / ((n or 0) + 1.0))), None).select("suffix", F.col("mean").alias("prior"))
+    domains = _level(totals(["domain", "suffix"]).join(suffixes, "suffix"), "suffix").select("domain", F.col("mean").alias("prior"))
+    posterior = _level(every.join(domains, "domain"), "domain")
     a, b = F.col("a"), F.col("b")
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return posterior.select("host", "n", "bad", "mean", F.greatest(F.lit(0.0), F.col("mean") - bound * deviation).alias("low"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise, without
 from .components import components
 
 #: The generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1, and the segments (shift, width).
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "print"])
 
-    return rows.mapInArrow(run, "id long, print long")
+    return map_arrow(rows, run, "id long, print long")
 
 
 def _keyed(prints: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _keyed(prints: DataFrame) -> DataFrame:
                 where, keys = bucket_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[where])], ["key", "print"])
 
-    return prints.select("print").mapInArrow(run, "key long, print long")
+    return map_arrow(prints.select("print"), run, "key long, print long")
 
 
 def links(prints: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -156,5 +156,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that repeat an id count as one document and stay or go together. All columns are kept.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where("id != component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return without(docs, found.where("id != component").select("id"), id_col)
