@@ -123,7 +123,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Scorer(mean, scale, kept[:-1], float(kept[-1]), prior)
 
 
-def class_prior(positives: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+def class_prior(positives: np.ndarray, unlabelled: np.ndarray, least: float = 0.7) -> float:
     """The share of good rows among ``unlabelled``: the least ratio of the shares of both above a score.
 
     Scores come from a scorer fitted to even odds; cuts are those that leave at least the share ``least`` of the
