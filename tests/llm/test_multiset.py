@@ -52,11 +52,18 @@ def test_likeness_of_many_repeated_lines(spark):
     assert abs(found[1].near_edited - 2 * 302 * 600 / (302**2 + 600**2)) < 0.001 and found[2].near_next < 0.3
 
 
-def test_many_buckets(docs, monkeypatch):
-    want = sorted(multiset.edited(docs).select("id", "edited_sha256").collect(), key=str)
-    monkeypatch.setattr(multiset, "BUCKET_ROWS", 3)
-    monkeypatch.setattr(multiset, "COARSE", 4)
-    assert sorted(multiset.edited(docs).select("id", "edited_sha256").collect(), key=str) == want
+def test_hot_ids_are_split_and_wide_ids_kept(spark):
+    big = 2**62
+    rows = [(None, f"no id {i}") for i in range(150)] + [(7, f"seven {i % 140}") for i in range(150)]
+    rows += [(i, f"text {i}") for i in (-3, 0, big, big + 1, big + 2, 2**63 - 1, -(2**63))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cuts = multiset._cuts(frame.select(F.col("doc_id").alias("id"), "text"))
+    assert sum(c.startswith("1") for c in cuts) > 5 and sum(c.startswith(f"0{7 + (1 << 63):016X}") for c in cuts) > 5
+    hashed = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]], r[1]))
+    want = sorted((str(i), text, order[(at + 1) % len(order)][1]) for at, (i, text) in enumerate(order))
+    found = multiset.with_next(frame).select("id", "text", "next_text").collect()
+    assert sorted((str(r.id), r.text, r.next_text) for r in found) == want
 
 
 def test_empty_single_and_clashing(docs, no_docs, clashing):

@@ -12,6 +12,9 @@ that a string can hold has the 2^29 elements from which on a lane's sign would b
 
 from __future__ import annotations
 
+from collections import Counter
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +26,6 @@ LOW = (1 << SLOT - 1) - 1
 MASK = LOW * ONES
 #: Up to eight words of one line with the white space behind them.
 BLOCK = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){1,8}+"
-#: Documents in one bucket of the order by id, on average, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS, COARSE = 256, 16_384, 128
 
 
 def element_hashes(text: Column) -> Column:
@@ -78,37 +79,57 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), element_hashes(text).alias("hashes")).select("id", summed(F.col("hashes")).alias("packed"))
 
 
+def place_of(row_id: Column, text: Column) -> Column:
+    """A row's place as 33 characters in the order of ids, nulls last, then of the texts' hashes."""
+    ordered = lambda value: F.lpad(F.hex(value.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(row_id.isNull(), "1").otherwise("0"), ordered(F.coalesce(row_id, F.lit(0).cast("long"))), ordered(F.xxhash64(text)))
+
+
+def _cuts(rows: DataFrame) -> list[str]:
+    """Places that cut the rows into some sqrt(n) ranges of about sqrt(n) rows: quantiles of the ids, and for an id (or
+    the null id) that fills whole ranges by itself, equal shares of the hashes of its texts."""
+    n, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
+    ranges = max(1, isqrt(n))
+    shares = lambda k: [f"{(1 << 64) * i // k:016X}" for i in range(k)]
+    found = {""} | {f"1{1 << 63:016X}{h}" for h in shares(1 + nulls // ranges)}
+    if ranges > 1 and n > nulls:
+        ids = Counter(rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0])
+        for held, times in ids.items():
+            found |= {f"0{held + (1 << 63):016X}{h}" for h in shares(times)}
+            if times > 1 and held < (1 << 63) - 1:
+                found.add(f"0{held + 1 + (1 << 63):016X}")
+    return sorted(found)
+
+
+def _ranges(cuts: list[str], place: Column) -> Column:
+    """How many of the cuts, in ascending order, are at or before a place; searched in two steps."""
+    step = isqrt(len(cuts)) + 1
+    whole, coarse = (F.split(F.lit(",".join(c)), ",") for c in (cuts, cuts[::step]))  # folded to one literal each
+    upto = lambda array: F.size(F.filter(array, lambda c: c <= place))
+    before = (upto(coarse) - 1) * step
+    return before + upto(F.slice(whole, before + 1, step))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, packed, next_text, next_packed): each row with the row that follows in ascending order of ids.
 
-    The last row is followed by the first, a single row by itself. Equal ids are ordered by their texts, null ids come
-    after all others, null texts are empty. Rows are dealt out by ranges of ids (quantiles, at most ``MOST_BUCKETS``
-    numbers on the driver), so that no task gets the whole order; the first row of each range is also given to the range
-    before it.
+    The last row is followed by the first, a single row by itself. Equal ids are ordered by their texts' hashes and then
+    texts, null ids come after all others, null texts are empty. Rows are dealt out by some sqrt(n) ranges of the order,
+    whose first places, as many short strings, are on the driver; the first row of each range is also given to the range
+    before it. So no task gets the whole order, and neither ranges nor the driver's list grow as fast as the table.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    n, low, nulls = rows.agg(F.count(F.lit(1)), F.min("id"), F.count_if(F.col("id").isNull())).first()
-    buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    bounds: list[int] = []
-    if low is not None:
-        cuts = rows.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets)).first()[0]
-        bounds = sorted({low, *(cuts if buckets > 1 else [])})
-    groups = [bounds[i : i + COARSE] for i in range(0, len(bounds), COARSE)]
-    if groups:
-        upto = lambda array: F.size(F.filter(array, lambda b: b <= F.col("id")))
-        coarse = upto(F.array(*(F.lit(g[0]).cast("long") for g in groups)))
-        fine = upto(F.element_at(F.array(*(F.array(*(F.lit(b).cast("long") for b in g)) for g in groups)), coarse))
-        bucket = F.when(F.col("id").isNull(), len(bounds) - 1).otherwise((coarse - 1) * COARSE + fine - 1)
-        first = F.col("id") == F.element_at(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("bucket") + 1)
-    else:
-        bucket, first = F.lit(0), F.lit(False)
-    last = max(0, len(bounds) - 1)
-    placed = rows.select("id", "text", element_hashes(F.col("text")).alias("hashes"), bucket.cast("int").alias("bucket"))
-    placed = placed.select("id", "text", summed(F.col("hashes")).alias("packed"), "bucket", F.coalesce(first, F.lit(False)).alias("first"))
-    wraps = F.col("bucket") == 0 if groups else F.lit(True)
-    copies = F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("guest")), F.when(F.col("first") | F.lit(not groups), F.struct(F.when(wraps, last).otherwise(F.col("bucket") - 1).cast("int").alias("at"), F.lit(1).alias("guest"))))
-    dealt = placed.withColumn("copy", F.explode(F.filter(copies, lambda c: c.isNotNull()))).select("id", "text", "packed", F.col("copy.at").alias("at"), F.col("copy.guest").alias("guest"))
-    order = Window.partitionBy("at").orderBy("guest", F.col("id").asc_nulls_last(), F.xxhash64("text"), "text")
+    placed = rows.withColumn("place", place_of(F.col("id"), F.col("text")))
+    cuts = _cuts(rows)
+    firsts = sorted(r["first"] for r in placed.select(_ranges(cuts, F.col("place")).alias("range"), "place").groupBy("range").agg(F.min("place").alias("first")).collect()) or [""]
+    at = (_ranges(firsts, F.col("place")) - 1).cast("int")
+    first = F.col("place") == F.element_at(F.split(F.lit(",".join(firsts)), ","), F.col("range") + 1)
+    before = F.pmod(F.col("range") - 1, F.lit(len(firsts)))
+    copies = F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("guest")), F.when(first, F.struct(before.alias("at"), F.lit(1).alias("guest"))))
+    dealt = placed.withColumn("range", at).withColumn("copy", F.explode(F.filter(copies, lambda c: c.isNotNull())))
+    dealt = dealt.select("id", "text", "place", F.col("copy.at").alias("at"), F.col("copy.guest").alias("guest")).repartition("at")
+    dealt = dealt.withColumn("hashes", element_hashes(F.col("text"))).withColumn("packed", summed(F.col("hashes"))).drop("hashes")
+    order = Window.partitionBy("at").orderBy("guest", "place", "text")
     led = dealt.withColumn("next", F.lead(F.struct("text", "packed")).over(order)).where("guest = 0")
     return led.select("id", "text", "packed", F.col("next.text").alias("next_text"), F.col("next.packed").alias("next_packed"))
 
