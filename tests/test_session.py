@@ -2,6 +2,10 @@ import json
 
 import pytest
 
+from tidemark.errors import Blocked
+from tidemark.operators.predicate import parse_conditions
+from tidemark.plans import explain
+from tidemark.plans.explain import Governor, estimate
 from tidemark.session import Session, inverse
 
 PEOPLE = ["DEFATTR(name:string, age:int)", "CREATE TABLE(people)"]
@@ -181,12 +185,49 @@ def test_governor_and_settings(people):
     assert people.execute("WHERE(age,>,1)").code == 6
     assert people.execute("WHERE(id,=,1)").code == 0
     assert run(people, "AUTOVACUUM 3").text == "AUTOVACUUM 3"
-    people.governor.mode = "off"
+    state = json.loads(run(people, "SCANPOLICY(ratelimit, least_rows=1, cap=1, per_second=0)").text)
+    assert state["rejected"] == 1 and state["checks"] == 2 and run(people, "WHERE(age,>,1)").df.count() == 2
+    assert json.loads(run(people, "SCANPOLICY(ratelimit, budget=1)").text)["budget"] == 1
+    assert "too wide" in people.execute("WHERE(age,>,1)").text and people.governor.budget_bound == 1
+    assert people.execute("SCANPOLICY(sometimes)").code and people.execute("SCANPOLICY(off, cap=2)").code
+    run(people, "SCANPOLICY off")
     run(people, "INSERT(5, E, 1)", "INSERT(6, F, 1)")
     assert people.counters["compactions"] >= 1 and run(people, "COUNT").text == "4"
     assert json.loads(run(people, "SHOW STATUS JSON").text)["AUTOVACUUM"] == "3"
 
 
+def test_scan_caps_and_estimates(people):
+    wide, either = parse_conditions("age,>,1"), parse_conditions("age,>,1,OR,age,<,0,AND,name,!=,x,AND,age,>,2")
+    guard, schema = Governor(), people.log().schema()
+    assert [guard.most_rows(wide, n) for n in (1_000, 100_000, 300_000, 1_000_000)] == [850, 78_000, 210_000, 600_000]
+    assert guard.most_rows(either, 1_000_000) == 405_000
+    stats = {"columns": {"age": {"distinct": 100}, "name": {"distinct": 4}}}
+    one = lambda text: estimate(parse_conditions(text), schema, 1000, stats)
+    assert (one("age,=,1"), one("age,>,1"), one("age,!=,1"), one("name,contains,x"), one("id,=,1")) == (10, 100, 490, 450, 1)
+    assert one("age,=,1,AND,name,=,x") == 2.5 and one("age,=,1,OR,name,=,x") == 260
+    assert estimate(wide, schema, 1000) == 450
+
+
+def test_rate_limit(people, monkeypatch):
+    guard, schema = Governor("ratelimit", 1, per_second=1, cap=1), people.log().schema()
+    clock = iter((0.0, 0.5, 1.2))
+    monkeypatch.setattr(explain.time, "monotonic", lambda: next(clock))
+    guard.admit(parse_conditions("age,>,1"), schema, 10)
+    with pytest.raises(Blocked, match="policy_block"):
+        guard.admit(parse_conditions("age,>,1"), schema, 10)
+    guard.admit(parse_conditions("age,>,1"), schema, 10)
+
+
+def test_summary_is_extended(people):
+    want = lambda: sorted((r.name, r.n, r.total) for r in people.table().covering("name", "age").collect())
+    found = lambda: sorted((r.name, r.n, r.total) for r in people.summary("name", "age").collect())
+    assert found() == want()
+    run(people, "INSERT(3, Bob, 5)", "UPDATE(1, Bob, 11)", "DELETE(2)", "INSERT(4, Eve, 1)", "SETATTR(4, age, 8)")
+    assert found() == want() == [("Bob", 2, 16), ("Eve", 1, 8)] and people.counters["summaries_extended"] == 1
+    run(people, "VACUUM", "DELETE(4)")
+    assert found() == want() and people.counters["summaries_extended"] == 1
+
+
 def test_inverse():
     row = {"id": 1, "name": "Al", "age": 3}
     assert inverse("INSERT(1, Al, 3)") == "DELETE(1)"

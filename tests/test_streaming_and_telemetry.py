@@ -34,6 +34,8 @@ def test_telemetry_source(spark, tmp_path):
     rows = telemetry.read(spark, f"file://{path}", ["a", "b"]).cache()
     found = telemetry.violations(rows, "v1", ["a", "b"]).orderBy("ts_ms").collect()
     assert "unreadable" in found[0].problems and found[1].problems == ["stats.a", "stats.b"]
+    filled = telemetry.with_defaults(rows, {"b": 7})
+    assert telemetry.violations(filled, "v1", ["b"]).count() == 1 and filled.where("ts_ms = 5").first().stats.b == 1
     assert telemetry.pick(rows, label_prefix="before").count() == 1 and telemetry.pick(rows, last=1).first().ts_ms == 9
 
 

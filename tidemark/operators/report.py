@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,34 @@ def distribution(rows: DataFrame, value: str, mean: Column | None = None) -> Dat
     return rows.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), mean.alias("avg"), F.lit(p50).cast(kind).alias("p50"), F.lit(p95).cast(kind).alias("p95"))
 
 
+def summary(rows: DataFrame, order: str, counters: list[str], ratios: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row: of each counter ``_first``, ``_last``, ``_rise`` (at least 0) and ``_most``, and each ratio, the rise of
+    one counter over that of another, 0 without a rise of that. One aggregation."""
+    held = rows.agg(*(a for c in counters for a in (F.min_by(c, order).alias(f"{c}_first"), F.max_by(c, order).alias(f"{c}_last"), F.max(c).alias(f"{c}_most"))))
+    held = held.withColumns({f"{c}_rise": F.greatest(F.col(f"{c}_last") - F.col(f"{c}_first"), F.lit(0)) for c in counters})
+    share = lambda part, whole: F.when(F.col(f"{whole}_rise") > 0, F.col(f"{part}_rise").cast("double") / F.col(f"{whole}_rise")).otherwise(0.0)
+    return held.withColumns({name: share(*pair) for name, pair in ratios.items()})
+
+
+def roll_up(sources: dict[str, DataFrame], order: str, tie: str, n: int, metrics: list[str], passed: Column, limits: dict[str, tuple[float, float]], warn: float = 0.9, critical: float = 0.7) -> DataFrame:
+    """One row on several sources together: rows and pass rate of all, the series of each metric over the ``n`` newest
+    rows (``_n``, ``_low``, ``_high``, ``_mean``), its newest value (``_latest``), and ``health``.
+
+    ``limits`` gives a metric's (warning, critical) values, which its newest value must not exceed. The tier is the
+    worst of those and of the pass rate's; a missing value does no harm.
+    """
+    tagged = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
+    newest = latest(tagged, order, tie, n)
+    whole = reduce(DataFrame.unionByName, tagged)
+    rate = pass_rate(whole, passed, warn, critical).select("n", "passed", "rate", F.col("health").alias("rated"))
+    by_time = lambda m: F.max_by(m, F.when(F.col(m).isNotNull(), F.struct(order, tie)))
+    held = newest.agg(*(a for m in metrics for a in (F.count(m).alias(f"{m}_n"), F.min(m).alias(f"{m}_low"), F.max(m).alias(f"{m}_high"), F.avg(m).alias(f"{m}_mean"), by_time(m).alias(f"{m}_latest"))))
+    row = rate.first()  # one row each
+    held = held.select(*(F.lit(row[c]).cast(rate.schema[c].dataType).alias(c) for c in ("n", "passed", "rate")), "*")
+    above = lambda i: reduce(Column.__or__, (F.coalesce(F.col(f"{m}_latest") > limits[m][i], F.lit(False)) for m in limits), F.lit(False))
+    return held.withColumn("health", F.when(above(1) | F.lit(row["rated"] == "critical"), "critical").when(above(0) | F.lit(row["rated"] == "warning"), "warning").otherwise("healthy"))
+
+
 def latest(sources: list[DataFrame], order: str, tie: str, n: int) -> DataFrame:
     """The ``n`` newest rows of several sources together."""
     union = sources[0]

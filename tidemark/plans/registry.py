@@ -121,6 +121,13 @@ EVENT_STAGE = "percentile_disc(0.95)"
 add("dist_stats_nearest_rank", "SELECT count(value) AS n, min(value) AS min, max(value) AS max, round(avg(CAST(value AS DECIMAL(18,2))), 4) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events", lambda s, d: report.distribution(read(s, d, "events"), "value", F.round(F.avg(money("value")), 4).cast("double")))
 add("step_deltas_clamped", "SELECT event_id, event_type, CAST(greatest(coalesce(user_id - lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), 0), 0) AS BIGINT) AS delta FROM events", lambda s, d: report.step_deltas(read(s, d, "events"), "event_type", "event_id", "user_id").select("event_id", "event_type", "delta"))
 add("window_delta_summary", "SELECT event_type, arg_min(user_id, event_id) AS first, arg_max(user_id, event_id) AS last, greatest(arg_max(user_id, event_id) - arg_min(user_id, event_id), 0) AS rise, max(user_id) AS most FROM events GROUP BY event_type", lambda s, d: report.window_delta(read(s, d, "events"), "event_type", "event_id", "user_id"))
+add("telemetry_summary", """WITH h AS (SELECT arg_min(user_id, event_id) AS user_id_first, arg_max(user_id, event_id) AS user_id_last, max(user_id) AS user_id_most, min(event_id) AS event_id_first, max(event_id) AS event_id_last, max(event_id) AS event_id_most FROM events),
+r AS (SELECT *, greatest(user_id_last - user_id_first, 0) AS user_id_rise, greatest(event_id_last - event_id_first, 0) AS event_id_rise FROM h)
+SELECT *, CASE WHEN event_id_rise > 0 THEN user_id_rise::DOUBLE / event_id_rise ELSE 0.0::DOUBLE END AS users_per_event FROM r""", lambda s, d: report.summary(read(s, d, "events"), "event_id", ["user_id", "event_id"], {"users_per_event": ("user_id", "event_id")}))
+add("trend_rollup", """WITH b AS (SELECT * FROM events WHERE event_type IN ('click', 'error')), l AS (SELECT * FROM b ORDER BY ts DESC, event_id DESC LIMIT 40),
+r AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) AS rate FROM b),
+m AS (SELECT count(user_id) AS user_id_n, min(user_id) AS user_id_low, max(user_id) AS user_id_high, round(avg(user_id), 6) AS user_id_mean, arg_max(user_id, (ts, event_id)) AS user_id_latest FROM l)
+SELECT *, CASE WHEN rate < 0.2 OR user_id_latest > 1000000 THEN 'critical' WHEN rate < 0.9 OR user_id_latest > 10 THEN 'warning' ELSE 'healthy' END AS health FROM r, m""", lambda s, d: report.roll_up({t: read(s, d, "events").where(F.col("event_type") == t) for t in ("click", "error")}, "ts", "event_id", 40, ["user_id"], F.col("event_type") != "error", {"user_id": (10, 1_000_000)}, critical=0.2).withColumn("user_id_mean", F.round("user_id_mean", 6)))
 add("trend_latest_n", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view') ORDER BY ts DESC, event_id DESC LIMIT 40", lambda s, d: report.latest([read(s, d, "events").where("event_type = 'click'"), read(s, d, "events").where("event_type = 'view'")], "ts", "event_id", 40).select("event_id", "event_type"))
 add("series_stats", "SELECT event_type, count(user_id) AS n, min(user_id) AS low, max(user_id) AS high, round(avg(user_id), 6) AS mean FROM events GROUP BY event_type", lambda s, d: report.series(read(s, d, "events"), "event_type", "user_id").withColumn("mean", F.round("mean", 6)))
 add("pass_rate_health", "SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) AS rate, CASE WHEN count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) < 0.7 THEN 'critical' WHEN count(*) FILTER (event_type <> 'error')::DOUBLE / count(*) < 0.9 THEN 'warning' ELSE 'healthy' END AS health FROM events", lambda s, d: report.pass_rate(read(s, d, "events"), F.col("event_type") != "error"))
@@ -237,7 +244,33 @@ _after("update_where", CUSTOMER.replace("c_mktsegment,", "CASE WHEN c_acctbal <
 _after("set_attr_multi", CUSTOMER.replace("c_mktsegment,", "CASE WHEN c_custkey IN (1, 5, 9) THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment,"), "SETATTRMULTI(c_mktsegment, VIP, 1, 5, 9)")
 _after("delete_where", CUSTOMER + " WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal > 0)", "DELETEWHERE(c_mktsegment,=,BUILDING,AND,c_acctbal,>,0)")
 _after("delete_pk", CUSTOMER + " WHERE c_name <> (SELECT min(c_name) FROM customer)", "SET PRIMARY KEY(c_name)", "DELETEPK({first})")
-add("insert_dedup", CUSTOMER + " UNION ALL SELECT s_suppkey + 100, s_name, 'NEW', s_acctbal FROM supplier WHERE s_suppkey + 100 NOT IN (SELECT c_custkey FROM customer)", lambda s, d: (t := _customers(s, d)).df.unionByName(algebra.anti_join(read(s, d, "supplier").select((F.col("s_suppkey") + 100).alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("NEW").alias("c_mktsegment"), F.col("s_acctbal").alias("c_acctbal")), t.df.select("c_custkey"), "c_custkey").select(*t.df.columns)))
+
+
+def _inserted(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers inserted among the customers; those whose id is taken are left out."""
+    held = _customers(s, d).df
+    session = session_on(s, held, "c_custkey")
+    session.insert_new(read(s, d, "supplier").select((F.col("s_suppkey") * 20).alias("id"), F.col("s_name").alias("c_name"), F.lit("NEW").alias("c_mktsegment"), F.col("s_acctbal").alias("c_acctbal")))
+    return session.frame().select(F.col("id").cast("long").alias("c_custkey"), *held.columns[1:])
+
+
+add("insert_dedup", CUSTOMER + " UNION ALL SELECT s_suppkey * 20, s_name, 'NEW', s_acctbal FROM supplier WHERE s_suppkey * 20 NOT IN (SELECT c_custkey FROM customer)", _inserted)
+
+
+def _kept_summary(s: SparkSession, d: str) -> DataFrame:
+    """Orders per status, kept after the first half of the events' ids was committed and extended by the second."""
+    session = session_on(s, read(s, d, "events").select(F.col("user_id").alias("id"), "event_type", F.col("event_id").cast("int").alias("at")).limit(0), "id")
+    middle = half(s, d)
+    for low, high in ((0, middle), (middle + 1, 2 * middle + 1)):
+        newest = latest(read(s, d, "events").select(F.col("user_id").alias("id"), "event_type", F.col("event_id").cast("int").alias("at"), F.col("event_id").alias("_seq")).where(F.col("_seq").between(low, high)))
+        session.log().append(newest.drop("_seq"))
+        found = session.summary("event_type", "at")
+    if not session.counters["summaries_extended"]:
+        raise RuntimeError("the summary was built anew")
+    return found
+
+
+add("covering_extended", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY event_type", _kept_summary)
 BULK = TableSchema([("name", "string"), ("dept", "string"), ("age", "int"), ("salary", "int")])
 BULK_SQL = "SELECT CAST(i AS INTEGER) AS id, 'u' || i AS name, CASE i % 4 WHEN 0 THEN 'ENG' WHEN 1 THEN 'FIN' WHEN 2 THEN 'OPS' ELSE 'HR' END AS dept, 20 + i % 40 AS age, 8000 + i % 50000 AS salary FROM range(1, 5001) t(i)"
 

@@ -67,7 +67,7 @@ class Session:
         self.isolation, self.on_conflict = "snapshot", ("reject", 0)
         self.settings, self.governor = dict(SETTINGS), explain.Governor()
         self.last_error, self.log_lines = "", []
-        self.counters = {"commands": 0, "errors": 0, "commits": 0, "rollbacks": 0, "conflicts": 0, "compactions": 0}
+        self.counters = {"commands": 0, "errors": 0, "commits": 0, "rollbacks": 0, "conflicts": 0, "compactions": 0, "summaries_extended": 0}
         self._schema = TableSchema()
         if table:
             self.set_table(table)
@@ -106,17 +106,34 @@ class Session:
     def summary(self, key: str, attribute: str) -> DataFrame:
         """Count and sum of an attribute for each value of ``key``, kept beside the table for its sequence number.
 
-        A summary of an earlier state is replaced, never served.
+        The summary of an earlier state is extended by what the commits since then took away and added, if sums are
+        whole numbers and the table wasn't rewritten; else it is built anew. It is never served for a later state.
         """
-        log = self.log()
-        name, seq = f"summary/{key}-{attribute}", log.manifest()["seq"]
         if self.txn:
             return self.table().covering(key, attribute)
-        path = f"{log.store.root}/{name}/{seq}"
-        if not log.store.exists(f"{name}/{seq}/_SUCCESS"):
-            log.store.delete(name)
-            self.table().covering(key, attribute).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        log, name = self.log(), f"summary/{key}-{attribute}"
+        manifest, store = log.manifest(), log.store
+        path = f"{name}/{manifest['seq']}"
+        if not store.exists(f"{path}/_SUCCESS"):
+            held = [int(n) for n in store.names(name, folders=True) if store.exists(f"{name}/{n}/_SUCCESS")]
+            since = max([s for s in held if s >= manifest["base_seq"]], default=None)
+            whole = log.schema(manifest).kind(attribute) == "int"
+            found = self.table().covering(key, attribute) if since is None or not whole else self._extended(log, manifest, f"{name}/{since}", since, key, attribute)
+            found.write.mode("overwrite").parquet(f"{store.root}/{path}")
+            self.counters["summaries_extended"] += since is not None and whole
+            for old in held:
+                store.delete(f"{name}/{old}")
+        return self.spark.read.parquet(f"{store.root}/{path}")
+
+    def _extended(self, log: Log, manifest: dict, held: str, since: int, key: str, attribute: str) -> DataFrame:
+        """The summary kept in a folder, less the rows as of ``since`` that later commits touch, plus their present ones."""
+        schema = log.schema(manifest)
+        touched = log._read([f for f, s in manifest["deltas"] if s > since], schema).select("id").distinct()
+        parts = self.spark.read.parquet(f"{log.store.root}/{held}")
+        for seq, sign in ((since, -1), (None, 1)):
+            rows = log.current(seq, manifest).join(touched, "id", "left_semi")
+            parts = parts.unionByName(Table(rows, schema).covering(key, attribute).withColumns({"n": F.col("n") * sign, "total": F.col("total") * sign}))
+        return parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
 
     def runtime_stats(self) -> str:
         return json.dumps(self.counters | {"version": VERSION, "table": self.name, "in_transaction": self.txn is not None}, sort_keys=True)
@@ -256,7 +273,7 @@ class Session:
     def where(self, inner, rest):
         conditions, table = parse_conditions(self._need(inner)), self.table()
         if self.governor.mode != "off":
-            self.governor.admit(conditions, table.schema, table.df.count())
+            self.governor.admit(conditions, table.schema, table.df.count(), self._stats())
         hit = table.where(conditions)
         return Result(hit.orderBy("id"), f"matched {hit.count()}")
 
@@ -373,11 +390,14 @@ class Session:
             raise InvalidArgument("count is at least 1")
         table, rows = self.table(), self.bulk_rows(start, n, tokens[2] if len(tokens) == 3 else None)
         fresh = fast and table.schema.primary_key == "id" and table.df.where(F.col("id").between(start, start + n - 1)).isEmpty()
-        if not fresh:
-            rows = rows.join(table.df.select("id"), "id", "left_anti")
-            if (pk := table.schema.primary_key) != "id":
-                rows = rows.join(table.df.select(pk), pk, "left_anti")
-        return Result(text=f"inserted {self._write(rows)}")
+        return Result(text=f"inserted {self._write(rows) if fresh else self.insert_new(rows)}")
+
+    def insert_new(self, rows: DataFrame) -> int:
+        """Insert the rows (id and attributes) whose id and key value the table doesn't have. Gives their number."""
+        table = self.table()
+        for key in dict.fromkeys(("id", table.schema.primary_key)):
+            rows = rows.join(table.df.select(key), key, "left_anti")
+        return self._write(rows)
 
     def bulk_insert_fast(self, inner, rest):
         return self.bulk_insert(inner, rest, fast=True)
@@ -603,6 +623,23 @@ class Session:
             self.settings[name] = value
         return Result(text=f"{name} {self.settings[name]}")
 
+    def scan_policy(self, inner, rest):
+        """``SCANPOLICY(mode [, name=value]...)`` with least_rows, per_second, cap and budget; without arguments it tells."""
+        tokens = split_arguments(inner) if inner else rest
+        guard, kinds = self.governor, {"least_rows": int, "per_second": float, "cap": float, "budget": int}
+        if tokens:
+            mode = tokens[0].lower()
+            given = [t.partition("=") for t in tokens[1:]]
+            if mode not in guard.MODES or any(k.strip() not in kinds for k, _, _ in given):
+                raise InvalidArgument(f"expected one of {', '.join(guard.MODES)} and least_rows=, per_second=, cap= or budget=")
+            values = {k.strip(): kinds[k.strip()](parse(v.strip(), "int" if kinds[k.strip()] is int else "double")) for k, _, v in given}
+            if min(values.values(), default=0) < 0 or values.get("cap", 0) > 1:
+                raise InvalidArgument("values are at least 0, and cap is at most 1")
+            guard.mode = mode
+            for k, v in values.items():
+                setattr(guard, k, v)
+        return Result(text=json.dumps({k: getattr(guard, k) for k in ("mode", *kinds, "checks", "warned", "rejected", "budget_bound")}))
+
     def analyze_table(self, inner, rest):
         return Result(text=stats.to_text(self.analyze()))
 
@@ -799,7 +836,7 @@ VERBS: dict[str, Callable] = {
     "CREATE TABLE": S.create_table, "USE": S.use, "DROP TABLE": S.drop_table, "RENAME TABLE": S.rename_table, "DEFATTR": S.define, "SET PRIMARY KEY": S.set_primary_key, "SHOW ATTR": S.show_attributes, "DESCRIBE": S.show_attributes,
     "SHOW KEY": S.show_key, "SHOW PRIMARY KEY": S.show_key, "CREATE SCHEMA": S.create_schema, "DROP SCHEMA": S.drop_schema, "LIST SCHEMAS": S.list_schemas, "SHOW SCHEMAS": S.list_schemas, "ALTER TABLE": S.alter_table,
     "LIST TABLES": S.list_tables, "SHOW TABLES": S.list_tables, "RESET": S.reset, "VACUUM": S.vacuum, "CONFIRM_REORDER": S.reorder, "SHOW STORAGE": S.show_storage, "SHOW TUNING": S.show_status, "SHOW STATUS": S.show_status,
-    "ANALYZE": S.analyze_table, "SHOWLOG": S.show_log, "HELP": S.help, "EXIT": lambda self, inner, rest: Result(text="bye"), "BEGIN": S.begin, "COMMIT": S.commit, "ROLLBACK": S.rollback, "SAVEPOINT": S.savepoint,
+    "ANALYZE": S.analyze_table, "SCANPOLICY": S.scan_policy, "SHOWLOG": S.show_log, "HELP": S.help, "EXIT": lambda self, inner, rest: Result(text="bye"), "BEGIN": S.begin, "COMMIT": S.commit, "ROLLBACK": S.rollback, "SAVEPOINT": S.savepoint,
     "RELEASE SAVEPOINT": S.release, "TXNISOLATION": S.set_isolation, "WRITECONFLICT": S.write_conflict, "RECOVER TO LSN": S.recover_lsn, "RECOVER TO TIME": S.recover_time, "EXPORT": S.export, "IMPORTDIR": S.import_dir,
     **{name: (lambda self, inner, rest, name=name: self.setting(name, inner, rest)) for name in SETTINGS},
 }

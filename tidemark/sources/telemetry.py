@@ -26,6 +26,14 @@ def pick(rows: DataFrame, run_id: str | None = None, label_prefix: str | None =
     return rows if last is None else rows.orderBy(F.desc("ts_ms")).limit(last)
 
 
+def with_defaults(rows: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """Rows of older writers with the counters that they didn't have yet: a missing one takes its default."""
+    stats = F.col("stats")
+    for name, value in defaults.items():
+        stats = stats.withField(name, F.coalesce(F.col(f"stats.{name}"), F.lit(float(value))))
+    return rows.withColumn("stats", F.when(F.col("stats").isNotNull(), stats))
+
+
 def violations(rows: DataFrame, version: str, required: list[str]) -> DataFrame:
     """Each bad row with ``problems``: unreadable, of another version, without time, run or label, or with a required
     counter that is missing, negative or not whole."""
