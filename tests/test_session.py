@@ -208,6 +208,25 @@ def test_scan_caps_and_estimates(people):
     assert estimate(wide, schema, 1000) == 450
 
 
+def test_session_history(people):
+    history, first = people.history, people.keep_history("shell")
+    run(people, "COUNT", "WHERE(age,>,1)\n")
+    people.execute("NONSENSE")
+    assert history.commands(first) == ["COUNT", "WHERE(age,>,1)", "NONSENSE"] and history.info(first)["ended"] is None
+    people.close()
+    other = Session(people.spark, people.workspace.root, "people")
+    assert other.keep_history("batch") == first + 1 and other.history.info(first)["ended"] and other.history.info(9) is None
+    assert history.cleanup(1) == [] and history.cleanup(-1) == [first] and history.sessions() == [first + 1]
+    assert other.workspace.tables() == ["people"] and run(other, "COUNT").text == "2"
+
+
+def test_storage_bytes(people):
+    run(people, "SETATTR(1, age, 3)", "DELETE(2)")
+    held = run(people, "SHOW STORAGE").df.first()
+    assert held.data_bytes == people.log().size() > 0 and held.dead_bytes + held.live_bytes == held.data_bytes
+    assert held.dead_ratio == 0.75 and abs(held.fragmentation_ratio - 0.75) < 0.01
+
+
 def test_rate_limit(people, monkeypatch):
     guard, schema = Governor("ratelimit", 1, per_second=1, cap=1), people.log().schema()
     clock = iter((0.0, 0.5, 1.2))

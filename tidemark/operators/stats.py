@@ -101,6 +101,15 @@ def storage_health(log: DataFrame) -> DataFrame:
     return whole.select("versions", "tombstones", "live", ratio(F.col("tombstones")).alias("tombstone_ratio"), ratio(F.col("versions") - F.col("live")).alias("dead_ratio"))
 
 
+def with_bytes(health: DataFrame, size: int) -> DataFrame:
+    """``storage_health`` with data_bytes, dead_bytes, live_bytes and fragmentation_ratio of files of ``size`` bytes: the
+    share of dead versions, tombstones and superseded ones, is taken for their share of the bytes."""
+    dead = F.least(F.lit(size), F.floor(F.lit(float(size)) * F.col("dead_ratio") + 0.5)).cast("long")
+    held = health.withColumns({"data_bytes": F.lit(size).cast("long"), "dead_bytes": dead})
+    share = F.when(F.col("data_bytes") > 0, F.col("dead_bytes") / F.col("data_bytes")).otherwise(F.col("dead_ratio"))
+    return held.withColumns({"live_bytes": F.col("data_bytes") - F.col("dead_bytes"), "fragmentation_ratio": share})
+
+
 def gather(df: DataFrame, schema: TableSchema) -> dict:
     """Row count and, for each attribute, what ``column_stats`` tells: one pass over the table."""
     names = [n for n in schema.names if n in df.columns]

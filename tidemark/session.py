@@ -20,6 +20,7 @@ from .operators.query import SHOWN, Table
 from .plans import explain
 from .sources import files
 from .sources.catalog import Workspace
+from .sources.history import History
 from .sources.log import Log
 from .sources.schema import TableSchema
 
@@ -69,6 +70,7 @@ class Session:
         self.last_error, self.log_lines = "", []
         self.counters = {"commands": 0, "errors": 0, "commits": 0, "rollbacks": 0, "conflicts": 0, "compactions": 0, "summaries_extended": 0}
         self._schema = TableSchema()
+        self.history, self.number = History(self.workspace.store), None
         if table:
             self.set_table(table)
 
@@ -78,10 +80,17 @@ class Session:
         self._schema = self.workspace.log(name).schema()
         self.name = name
 
+    def keep_history(self, client: str) -> int:
+        """Keep this session's commands in the workspace from now on. Gives the session's number there."""
+        self.number = self.history.begin(client)
+        return self.number
+
     def execute(self, line: str) -> Result:
         """Run one command. Errors come back as a result with their code, and in ``last_error``."""
         self.counters["commands"] += 1
         self.log_lines.append(line.rstrip("\r\n"))
+        if self.number:
+            self.history.record(self.number, self.log_lines[-1])
         try:
             return self._dispatch(line.strip())
         except EngineError as error:
@@ -93,7 +102,9 @@ class Session:
         """Drop an open transaction and the current table."""
         if self.txn:
             self.rollback(None, [])
-        self.name = None
+        if self.number:
+            self.history.end(self.number)
+        self.name = self.number = None
 
     @staticmethod
     def version() -> str:
@@ -610,7 +621,7 @@ class Session:
         return Result(mapping, "renumbered")
 
     def show_storage(self, inner, rest):
-        return Result(stats.storage_health(self.log().history()))
+        return Result(stats.with_bytes(stats.storage_health(self.log().history()), self.log().size()))
 
     def show_status(self, inner, rest):
         if [r.upper() for r in rest] == ["JSON"]:

@@ -40,6 +40,10 @@ class Store:
     def path(self, name: str):
         return self._path(f"{self.root}/{name}" if name else self.root)
 
+    def size(self, name: str) -> int:
+        """Bytes of a file, or of all files below a folder."""
+        return self.fs.getContentSummary(self.path(name)).getLength()
+
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
 

@@ -160,6 +160,12 @@ class Log:
         schema = self.schema(at)
         return self.replace(self.current(seq, at, schema), schema)
 
+    def size(self) -> int:
+        """Bytes of the files that the newest manifest names."""
+        manifest = self.manifest()
+        folders = [*([manifest["base"]] if manifest["base"] else []), *(f for f, _ in manifest["deltas"])]
+        return sum(self.store.size(f"data/{f}") for f in folders)
+
     def sweep(self, older_ms: int = 3_600_000) -> list[str]:
         """Delete folders that no manifest names and that are older than an hour, by default: what crashed statements
         and lost transactions left. Gives their names."""
