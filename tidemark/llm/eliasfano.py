@@ -107,15 +107,23 @@ class Sequence:
         place[inside], end[inside] = self._run(high[inside])
         np.minimum(place, self.n, out=place)
         np.minimum(end, self.n, out=end)
-        a, b, going = place, end.copy(), np.flatnonzero(place < end)
+        size, same = end - place, np.zeros(len(keys), bool)
+        alone = np.flatnonzero(size == 1)
+        held, wanted = self._lows(place[alone]), low[alone]
+        same[alone] = held == wanted
+        place[alone] += held < wanted
+        many = going = np.flatnonzero(size > 1)
+        a, b, goal = place[many], end[many], low[many]
         while len(going):
-            middle = (a[going] + b[going]) >> 1
-            less = self._lows(middle) < low[going]
-            a[going[less]], b[going[~less]] = middle[less] + 1, middle[~less]
-            going = going[a[going] < b[going]]
-        same = a < end
-        same[same] = self._lows(a[same]) == low[same]
-        return a, same
+            middle = (a + b) >> 1
+            less = self._lows(middle) < goal
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            more = a < b
+            place[going[~more]] = a[~more]
+            going, a, b, goal = going[more], a[more], b[more], goal[more]
+        found = many[place[many] < end[many]]
+        same[found] = self._lows(place[found]) == low[found]
+        return place, same
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:

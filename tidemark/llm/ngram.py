@@ -105,9 +105,10 @@ class Level:
                 out[part] = open_file(shard.path)[what][at]
         return out
 
-    def contexts(self, parents: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def contexts(self, parents: np.ndarray, width: int, pointers: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(node of the first child, quantised back-off mass) of sorted parents; -1 and 0 (mass one) without children.
 
+        Without ``pointers`` the first child's place is left at 0.
         Only shards that hold children of some parent are looked at.
         """
         first, mass = np.full(len(parents), -1, np.int64), np.zeros(len(parents), np.uint16)
@@ -121,7 +122,7 @@ class Level:
             at = place[new]
             if len(at):
                 target = np.flatnonzero(new) + a
-                first[target] = sequence(shard.path, "pointers").get(at) + shard.start
+                first[target] = sequence(shard.path, "pointers").get(at) + shard.start if pointers else 0
                 mass[target] = open_file(shard.path)["backoff"][at]
         return first, mass
 
@@ -175,7 +176,8 @@ class Reader:
                 return
             keys, back = np.unique(key, return_inverse=True)
             nodes = level.find(keys)
-            first, mass = level.contexts(parents, width)
+            last = scores and k == upto  # nothing is looked up below
+            first, mass = level.contexts(parents, width, not last)
             if scores:
                 share = np.zeros(len(keys))
                 held = nodes >= 0
@@ -188,6 +190,8 @@ class Reader:
                 p, b = np.zeros(len(at)), np.ones(len(at))
                 p[valid], b[before >= 0] = share[back], mass[before[before >= 0]]
                 yield b, p
+            if last:
+                return
             held = nodes >= 0
             rank = np.where(held, np.cumsum(held) - 1, -1)
             start = np.full(len(at), -1, np.int64)
