@@ -1,12 +1,14 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow import fs
 
-from tidemark.llm import ngram
+from tidemark.llm import eliasfano, ngram
 from tidemark.llm.eliasfano import Sequence, encode
 
 
@@ -117,3 +119,45 @@ def test_ngrams_seen_once_are_kept(spark):
     assert [sum(s.n for s in level) for level in trie.levels[1:]] == [len(pairs), len(triples)]
     seen, unseen = (ngram.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), trie).first().score for t in ("q r s", "q v s"))
     assert seen > unseen + 1
+
+
+def test_shards_are_bounded(spark, docs, monkeypatch):
+    hot = " ".join(f"a b w{i}" for i in range(1500))
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, hot)], "doc_id long, text string")).coalesce(1)
+    whole = ngram.train(frame)
+    want = sorted((r for r in ngram.score(frame, whole).collect()), key=str)
+    monkeypatch.setattr(ngram, "SHARD", 200)
+    cut = ngram.train(frame)
+    assert [sum(s.n for s in level) for level in cut.levels] == [sum(s.n for s in level) for level in whole.levels]
+    assert max(s.n for level in cut.levels for s in level) <= 400
+    got = sorted((r for r in ngram.score(frame, cut).collect()), key=str)
+    for a, b in zip(got, want, strict=True):
+        assert a[:4] == b[:4] and a.score == pytest.approx(b.score, abs=3e-4 * a.n_tokens)
+
+
+def test_fans(spark, docs):
+    trie = ngram.train(docs, order=4)
+    for level in (2, 3, 4):
+        keys = np.concatenate([ngram.sequence(s.path, "keys").get(np.arange(s.n)) for s in trie.levels[level - 1] if s.n])
+        parent, child = keys >> trie.widths[level - 2], keys & ((1 << trie.widths[level - 2]) - 1)
+        known = parent < sum(s.n for s in trie.levels[level - 2])  # all but the start symbol
+        assert (child[known] < ngram._fans(trie, level, parent[known])).all()
+
+
+def test_lookups_hold_nothing_of_a_sequence():
+    values = np.cumsum(np.random.default_rng(0).integers(1, 1000, 1_000_000))
+    s = Sequence(encode(values))
+    tracemalloc.start()
+    s.lower_bound(values[[5, 700_000]]), s.get(np.array([9, 999_999]))
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 50_000
+
+
+def test_files_that_are_not_mounted_are_copied(tmp_path, monkeypatch):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path}/own")
+    (tmp_path / "own").mkdir()
+    eliasfano.save(f"{tmp_path}/far/x.trie", {"a": np.arange(1000)})
+    monkeypatch.setattr(eliasfano, "_place", lambda path: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), path.removeprefix(str(tmp_path))))
+    assert eliasfano.open_file(f"{tmp_path}/far/x.trie")["a"].tolist() == list(range(1000))
+    assert len(list((tmp_path / "own").iterdir())) == 1

@@ -2,40 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import json
 import os
+import shutil
+import tempfile
 import uuid
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 from pyarrow import fs
 
-#: Files whose arrays a process keeps open.
-OPEN = 512
+#: Files whose arrays a process keeps open, values encoded at a time.
+OPEN, PART = 4096, 1 << 18
 #: Position of the k-th one (0 to 7) in each byte, by rule.
 _ONE_OF_BYTE = np.array([[([i for i in range(8) if byte >> i & 1] + [8] * 8)[k] for k in range(8)] for byte in range(256)], np.int64)
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     """A monotone sequence of non-negative int64, less its first value: low bits packed, high bits in unary, and how
-    many ones stand before each word of these."""
+    many ones and zeros stand before each word of these. Works on ``PART`` values at a time."""
     n, base = len(values), int(values[0]) if len(values) else 0
-    values = values - base
-    top = int(values[-1]) + 1 if n else 1
+    top = int(values[-1]) - base + 1 if n else 1
     width = max(0, (top // max(1, n)).bit_length() - 2)
-    ones = (values >> width) + np.arange(n, dtype=np.int64)
-    upper = np.zeros((int(ones[-1]) + 1 if n else 0) // 64 + 2, np.uint64)
-    np.bitwise_or.at(upper, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
+    upper = np.zeros(((top - 1 >> width) + n if n else 0) // 64 + 2, np.uint64)
     low = np.zeros((n * width + 63) // 64 + 1, np.uint64)
-    if width:
-        part = (values & ((1 << width) - 1)).astype(np.uint64)
-        at = np.arange(n, dtype=np.int64) * width
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        np.bitwise_or.at(low, word, part << shift)
-        over = (shift.astype(np.int64) + width) > 64
-        np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-    before = np.concatenate(([0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)[:-1])).astype(np.uint32)
-    return {"upper": upper, "low": low, "before": before, "about": np.array([n, width, base], np.int64)}
+    for start in range(0, n, PART):
+        part = values[start : start + PART] - base
+        place = np.arange(start, start + len(part), dtype=np.int64)
+        ones = (part >> width) + place
+        np.bitwise_or.at(upper, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
+        if width:
+            part = (part & ((1 << width) - 1)).astype(np.uint64)
+            at = place * width
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            np.bitwise_or.at(low, word, part << shift)
+            over = (shift.astype(np.int64) + width) > 64
+            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+    before = np.concatenate(([0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)[:-1]))
+    zeros = np.arange(len(before), dtype=np.int64) * 64 - before
+    return {"upper": upper, "low": low, "before": before.astype(np.uint32), "zeros": zeros.astype(np.uint32), "about": np.array([n, width, base], np.int64)}
 
 
 def _kth_one(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -52,16 +59,13 @@ def _kth_one(words: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class Sequence:
-    """Reads what ``encode`` made, many positions or keys at a time; no step depends on how far apart they are."""
+    """Reads what ``encode`` made, many positions or keys at a time; no step depends on how far apart they are, and nothing
+    as long as the sequence is held beside it."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.upper, self.low, self.before = parts["upper"], parts["low"], parts["before"]
+        self.upper, self.low, self.before, self.zeros = (parts[name] for name in ("upper", "low", "before", "zeros"))
         self.n, self.width, self.base = (int(x) for x in parts["about"])
 
-    @cached_property
-    def zeros_before(self) -> np.ndarray:
-        return np.arange(len(self.before), dtype=np.int64) * 64 - self.before
-
     def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.int64)
@@ -78,8 +82,8 @@ class Sequence:
 
     def _after_zero(self, zero: np.ndarray) -> np.ndarray:
         """The bit after each of the zeros numbered in order."""
-        word = np.searchsorted(self.zeros_before, zero, "right") - 1
-        return (word << 6) + _kth_one(~self.upper[word], zero - self.zeros_before[word]) + 1
+        word = np.searchsorted(self.zeros, zero.astype(np.uint32), "right") - 1  # of one type, else a search copies the whole array
+        return (word << 6) + _kth_one(~self.upper[word], zero - self.zeros[word]) + 1
 
     def _run(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first position, position after the last) of the values with each of the sorted high parts."""
@@ -100,7 +104,7 @@ class Sequence:
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         keys = keys - self.base
         high, low = keys >> self.width, keys & ((1 << self.width) - 1)
-        top = int(self.zeros_before[-1]) + 64 - int(np.bitwise_count(self.upper[-1]))  # zeros in all, so more than any high part
+        top = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.upper[-1]))  # zeros in all, so more than any high part
         place, end = np.full(len(keys), self.n, np.int64), np.full(len(keys), self.n, np.int64)
         inside = slice(*np.searchsorted(high, [0, top]).tolist())
         place[: inside.start] = end[: inside.start] = 0
@@ -147,16 +151,25 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
     system.move(part, at)
 
 
+def _copied(system: fs.FileSystem, at: str, path: str) -> str:
+    """A copy of a file in the executor's own folder, which Spark deletes with the executor; its workers share it."""
+    spark = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    own = os.path.join(spark or tempfile.gettempdir(), f"tidemark-{hashlib.sha256(path.encode()).hexdigest()}")
+    if not os.path.exists(own):
+        with system.open_input_stream(at) as source, open(part := f"{own}.{uuid.uuid4().hex}", "wb") as out:
+            shutil.copyfileobj(source, out, 1 << 20)
+        os.replace(part, own)
+        if not spark:
+            atexit.register(lambda: os.path.exists(own) and os.remove(own))
+    return own
+
+
 @lru_cache(maxsize=OPEN)
 def open_file(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file: memory-mapped where the shared folder is mounted, read into memory elsewhere."""
+    """The arrays of a file, memory-mapped, so that they take no memory that the system can't have back; where the shared
+    folder isn't mounted, they are those of a copy."""
     system, at = _place(path)
-    if isinstance(system, fs.LocalFileSystem):
-        raw = np.memmap(at, np.uint8, "r")
-    else:
-        with system.open_input_file(at) as file:
-            raw = np.frombuffer(file.read(), np.uint8)
-    raw = raw.view(np.ndarray)
+    raw = np.memmap(at if isinstance(system, fs.LocalFileSystem) else _copied(system, at, path), np.uint8, "r").view(np.ndarray)
     head = 8 + int.from_bytes(raw[:8].tobytes(), "little")
     about = json.loads(raw[8:head].tobytes())
     return {name: raw[head + offset : head + offset + n * np.dtype(kind).itemsize].view(kind) for name, (kind, offset, n) in about.items()}

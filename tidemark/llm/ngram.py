@@ -28,8 +28,8 @@ from .eliasfano import encode, named, open_file, save, sequence
 
 ORDER, LEAST, DISCOUNT = 3, 1, 0.6
 #: Characters tokenised together, keys held before a task passes them on, steps of a quantised log10, rows of a batch
-#: (distinct n-grams are looked up once for each batch).
-TOGETHER, HELD, STEP, ROWS = 8_000_000, 3_000_000, 4096, 3_000
+#: (distinct n-grams are looked up once for each batch), tokens whose n-grams make up a shard (a task builds one at a time).
+TOGETHER, HELD, STEP, ROWS, SHARD = 4_000_000, 2_000_000, 4096, 3_000, 2_000_000
 END = 0  #: the key of the end of a text in the vocabulary
 
 
@@ -91,6 +91,13 @@ class Level:
             out[part] = np.where(same, place + shard.start, -1)
         return out
 
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """How many nodes have a smaller key than each of the sorted keys."""
+        out = np.zeros(len(keys), np.int64)
+        for shard, part in self._each(self.keys, keys):
+            out[part] = sequence(shard.path, "keys").lower_bound(keys[part])[0] + shard.start
+        return out
+
     def read(self, nodes: np.ndarray, what: str) -> np.ndarray:
         """``keys``, ``counts`` or ``alpha`` of sorted nodes."""
         out = np.zeros(len(nodes), np.int64)
@@ -215,6 +222,26 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.bincount(owner, minlength=len(texts)).astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), (keys >> np.uint64(1)).astype(np.int64)
 
 
+def _suffixes(trie: Trie, level: int, nodes: np.ndarray) -> np.ndarray:
+    """The nodes of a level's n-grams without their first words."""
+    nodes, back = np.unique(nodes, return_inverse=True)
+    keys, width = Level(trie.levels[level - 1]).read(nodes, "keys"), trie.widths[level - 2]
+    child = keys & ((1 << width) - 1)
+    if level > 2:
+        heads, to = np.unique(_suffixes(trie, level - 1, keys >> width), return_inverse=True)
+        child += Level(trie.levels[level - 2]).place(heads << trie.widths[level - 3])[to]
+    return child[back]
+
+
+def _fans(trie: Trie, level: int, parents: np.ndarray) -> np.ndarray:
+    """How many children nodes of the level below can have: the vocabulary, or the children of their last words' node."""
+    if level == 2:
+        return np.full(len(parents), trie.distinct, np.int64)
+    below, width = Level(trie.levels[level - 2]), trie.widths[level - 3]
+    ends, back = np.unique(_suffixes(trie, level - 1, parents), return_inverse=True)
+    return (below.place(ends + 1 << width) - below.place(ends << width))[back]
+
+
 def _blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and counts: differences by byte planes, so that Spark's shuffle compression finds the zeros."""
     steps = np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
@@ -234,6 +261,16 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
+def _merged(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all blobs in order, and the sums of their counts."""
+    sizes = [int.from_bytes(b.as_buffer()[:8].to_pybytes(), "little") for b in blobs]
+    keys, counts, at = np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.int64), 0
+    for blob, n in zip(blobs, sizes, strict=True):
+        keys[at : at + n], counts[at : at + n] = _unblob(blob.as_buffer())
+        at += n
+    return _summed(keys, counts)
+
+
 def _counting(texts: DataFrame, make, bounds: np.ndarray) -> DataFrame:
     """(shard, blob): n-gram keys that ``make`` finds in a slice of texts, counted and cut at ``bounds``."""
 
@@ -242,8 +279,9 @@ def _counting(texts: DataFrame, make, bounds: np.ndarray) -> DataFrame:
 
         def flush():
             if held:
-                keys, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+                keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
+                keys, counts = _summed(keys, counts)
                 cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
                 rows = [(s, _blob(keys[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
@@ -265,8 +303,7 @@ def _build(counted: DataFrame, folder: str, level: int, trie: Trie) -> list[dict
 
     def shard(key, table):
         s = key[0].as_py()
-        pairs = [_unblob(b) for b in table.column("blob").to_pylist()]
-        keys, counts = _summed(np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs]))
+        keys, counts = _merged(table.column("blob"))
         if level > 1:
             enough = counts >= LEAST
             keys, counts = keys[enough], counts[enough]
@@ -299,12 +336,13 @@ def _build(counted: DataFrame, folder: str, level: int, trie: Trie) -> list[dict
     return [r.asDict() for r in counted.groupBy("shard").applyInArrow(shard, schema).orderBy("shard").collect()]
 
 
-def _bounds(trie: Trie, spark, level: int, shards: int, fan: int) -> np.ndarray:
-    """Keys that cut the next level into parts of about equal count: parents weigh their own counts, and a parent with
-    more than a part is cut among its children. Computed shard by shard; the driver gets ``shards`` numbers."""
+def _bounds(trie: Trie, spark, level: int, shards: int) -> np.ndarray:
+    """Keys that cut the next level into ``shards`` parts or more of about equal count, at most some ``SHARD``: parents
+    weigh their own counts, and one with more than a part is cut among the children that it can have. Computed shard by
+    shard; the driver gets one number a part."""
     below, width = trie.levels[level - 2], trie.widths[level - 2]
     weight = sum(s.total for s in below) or 1
-    step, rows, done = max(1, weight // shards), [], 0
+    step, rows, done = max(1, min(SHARD, weight // shards)), [], 0
     for s in below:
         rows.append((s.path, s.start, s.n, s.total, done))
         done += s.total
@@ -321,11 +359,12 @@ def _bounds(trie: Trie, spark, level: int, shards: int, fan: int) -> np.ndarray:
                     at = np.minimum(sums.lower_bound(goals)[0], n) - 1
                     low, high = sums.get(at), sums.get(at + 1)
                     share = (goals - low) / np.maximum(1, high - low)
-                    keys = (at + start << width) | np.minimum((share * fan).astype(np.int64), (1 << width) - 1)
+                    keys = (at + start << width) | np.minimum((share * _fans(trie, level, at + start)).astype(np.int64), (1 << width) - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["key"])
 
     held = map_arrow(spark.createDataFrame(rows, "path string, start long, n long, total long, before long"), run, "key long").distinct().orderBy("key").collect()
-    return np.array([r[0] for r in held], np.int64)
+    first = (trie.distinct << width) + np.arange(0, trie.texts, step) * trie.distinct // trie.texts if level == 2 else []  # of the start symbol
+    return np.concatenate((np.array([r[0] for r in held], np.int64), np.array(first, np.int64)))
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, discount: float = DISCOUNT) -> Trie:
@@ -333,6 +372,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, discount:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     folder, shards = scratch_path(spark, "trie"), max(4, texts.rdd.getNumPartitions())
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     trie = Trie(order, discount)
 
     def words(column):
@@ -340,7 +380,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, discount:
         sums = np.bincount(index, minlength=len(keys))
         return np.append(keys, END), np.append(sums, len(lengths))
 
-    cuts = (np.arange(1, shards, dtype=np.float64) / shards * float(1 << 63)).astype(np.int64)
+    parts = max(shards, -(-size // (4 * SHARD)))  # a flush holds no word twice, so few of its words are shorter than three bytes
+    cuts = (np.arange(1, parts, dtype=np.float64) / parts * float(1 << 63)).astype(np.int64)
     built = _build(_counting(texts, words, cuts), folder, 1, trie)
     trie.levels.append(_placed(built))
     trie.tokens, trie.distinct, trie.once = sum(r["total"] for r in built), sum(r["n"] for r in built), sum(r["once"] for r in built)
@@ -355,7 +396,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, discount:
         if width + parents.bit_length() > 62:
             raise ValueError(f"level {k} needs keys of more than 62 bits")
         trie.widths.append(width)
-        cuts = _bounds(trie, spark, k, shards, fan)
+        cuts = _bounds(trie, spark, k, shards)
 
         def grams(column, trie=trie, k=k):
             reader = Reader(trie)
