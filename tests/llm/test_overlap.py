@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_simhash import brute_components
 
 from tidemark.llm import overlap
+from tidemark.llm.simhash import fingerprint
 
 
 def shingles(text):
@@ -62,6 +63,21 @@ def test_the_pipelines_stage_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == [1, 3]
 
 
+def test_fingerprints_link_without_min_hashes(spark, monkeypatch):
+    """Without any min-hash key in common, copies within two bits are linked if their sets are alike, and only then."""
+    monkeypatch.setattr(overlap, "band_keys", lambda least: np.random.default_rng().integers(0, 1 << 63, (len(least), overlap.BANDS)).astype(np.uint64))
+    rng = random.Random(8)
+    long, often = prose(rng, 4000), prose(rng, 30)
+    near = [long + " end", long + " stop"]
+    apart = [" ".join([often] * 60 + [prose(rng, 40)]) for _ in range(2)]  # repeats weigh in a fingerprint, not in a set
+    rows = [*enumerate(near, 1), *enumerate(apart, 11), (21, prose(rng, 300))]
+    prints = {i: fingerprint(t, overlap.SHINGLE) for i, t in rows}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2 and (prints[11] ^ prints[12]).bit_count() <= 2
+    assert alike(*map(shingles, near)) and not alike(*map(shingles, apart))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: r.component for r in overlap.near_duplicates(frame).collect()} == {1: 1, 2: 1, 11: 11, 12: 12, 21: 21}
+
+
 def test_edges(spark, docs, no_docs, clashing):
     assert overlap.keep_one(no_docs).count() == 0
     kept = overlap.keep_one(clashing)

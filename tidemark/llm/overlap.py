@@ -1,13 +1,15 @@
 """Near-duplicates by overlap: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Each set has ``HASHES`` min-hashes. Candidates share one of ``BANDS`` keys of ``ROWS`` of them each; the keys are made by
-cutting the min-hashes into parts in several fixed orders. A pair at 0.8 has no key in common with a probability of about
-1e-5, a closer one with less, while texts that merely share a passage seldom meet: at 0.3 one pair in 230 does. Pairs are
-first compared by their min-hashes, where a pair at 0.8 fails with a probability of 1e-8, and those that pass are checked
-on the whole sets. Texts with equal sets are one node. In each bucket of a key the members are compared with its first
-one. What this leaves outside a bucket's main component is a query set: each of its rows is compared with all rows of that
-component and of the query set, block by block on the whole sets. So each pair of a bucket that isn't in one component by
-then is compared, and no pair is skipped; only links leave the blocks.
+Candidates come from two sources, and every one is checked on the whole sets. First, SimHash fingerprints of the shingles
+that ``simhash`` links through its Golay keys: all that differ in at most two bits. That finds the closest copies, but at
+0.8 some 10 of 64 bits differ, so the rest comes from min-hashes: each set has ``HASHES`` of them, and candidates share one
+of ``BANDS`` keys of ``ROWS`` of them each; the keys are made by cutting the min-hashes into parts in several fixed orders.
+A pair at 0.8 has no key in common with a probability of about 1e-5, a closer one with less, while texts that merely share
+a passage seldom meet: at 0.3 one pair in 230 does. Pairs of a key are first compared by their min-hashes, where a pair at
+0.8 fails with a probability of 1e-8. Texts with equal sets are one node. In each bucket of a key the members are compared
+with its first one. What this leaves outside a bucket's main component is a query set: each of its rows is compared with all
+rows of that component and of the query set, block by block on the whole sets. So each pair of a bucket that isn't in one
+component by then is compared, and no pair is skipped; only links leave the blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import by_size, map_arrow, materialise, remove, scratch_path, slices, without
 from .components import components
 from .ngram import tokens
+from .simhash import fingerprints, links as golay_links
 
 SHINGLE, HASHES, BANDS, ROWS = 5, 128, 64, 8
 #: Equal min-hashes of a pair that is checked on the whole sets: 5.9 deviations below the mean at a similarity of 0.8.
@@ -189,17 +192,29 @@ def _against(queries: DataFrame, members: DataFrame, sets: DataFrame) -> DataFra
     return one.groupBy("one_crowd", "one_x", "one_y").cogroup(two.groupBy("two_crowd", "two_x", "two_y")).applyInArrow(run, "a long, b long")
 
 
+def _simhash_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): rows among ``nodes`` (row) whose fingerprints are linked, by the first row of each fingerprint, and the first
+    with each other row of its fingerprint; ``texts`` has their texts by row. The sets of a pair need not be alike."""
+    prints = materialise(fingerprints(texts, "row", "text", SHINGLE).withColumnRenamed("id", "row").join(nodes, "row", "left_semi"))
+    firsts = materialise(prints.groupBy("print").agg(F.min("row").alias("first")))
+    found = golay_links(firsts).toDF("print", "other").join(firsts.withColumnRenamed("first", "a"), "print")
+    found = found.join(firsts.toDF("other", "b"), "other").select("a", "b")
+    return found.unionByName(prints.join(firsts, "print").where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")))
+
+
 def _roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of linked rows among ``nodes`` (row, keys, sketch); ``texts`` has their texts by row."""
+    closest = materialise(_simhash_pairs(by_size(nodes.where("size(keys) > 0").select("row")), texts))
     keyed = nodes.select("row", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = materialise(keyed.join(by_size(shared.select("key")), "key"))
-    near = by_size(held.select("row").distinct())  # the rows that share a key: only they are looked at from here on
+    # The rows that share a key or a fingerprint: only they are looked at from here on.
+    near = by_size(held.select("row").unionByName(closest.select(F.explode(F.array("a", "b")).alias("row"))).distinct())
     sketches = materialise(nodes.select("row", "sketch").join(near, "row", "left_semi"))
     sets = materialise(_sets(texts.join(near, "row", "left_semi")))
     leads = held.groupBy("key").agg(F.min("row").alias("a"))
     pairs = materialise(held.join(leads, "key").where("row != a").select("a", F.col("row").alias("b")).distinct())
-    links = materialise(_alike(_close(pairs, sketches), sets))
+    links = materialise(_alike(closest.unionByName(_close(pairs, sketches)).distinct(), sets))
     roots = components(links).withColumnRenamed("node", "row")
     live = materialise(held.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")))
     parts = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
