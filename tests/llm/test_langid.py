@@ -61,3 +61,17 @@ def test_frames(docs, corpus, no_docs, clashing, model):
     assert langid.predict(no_docs, model).count() == 0 and langid.keep_known(no_docs, model).count() == 0
     kept = langid.keep_known(clashing, model, least=0.3)
     assert kept.columns == clashing.columns and {200, 201, 202}.isdisjoint(r.doc_id for r in kept.collect())
+
+
+def test_scoring_of_long_texts_holds_little_memory():
+    import tracemalloc
+
+    distinct = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}langword" for i in range(80_000)]
+    model = langid.Model(["de", "en"], np.zeros((langid.BINS, 2), np.float32), np.ones((14, 2), bool))
+    tracemalloc.start()
+    try:
+        langid.word_scores(model, distinct)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 << 20

@@ -23,7 +23,7 @@ SCRIPT_STARTS = (0x0, 0x41, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x9
 SCRIPTS = (0, 1, 0, 2, 3, 4, 5, 6, 0, 7, 8, 0, 9, 10, 11, 1, 2, 0, 12, 0, 13, 0, 10, 0)
 #: Hash bins of trigrams, penalty of a switch (natural log), characters handled together, score of an excluded language,
 #: trigrams handled together, most languages.
-BINS, SWITCH, TOGETHER, EXCLUDED, AT_ONCE, MOST = 1 << 15, 12.0, 1_000_000, -1e6, 1 << 20, 1000
+BINS, SWITCH, TOGETHER, EXCLUDED, AT_ONCE, MOST = 1 << 15, 12.0, 250_000, -1e6, 1 << 17, 1000
 #: Letters are the characters of the general categories L.
 NOT_LETTERS = regex.compile(r"[^\p{L} ]")
 
